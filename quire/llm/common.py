@@ -65,12 +65,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def matches(text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Column, Column], Column] | None = None, group: int | None = None) -> Column:
+def matches(text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Column, Column], Column] | None = None, group: int | None = None, hint: str | None = None) -> Column:
     """Array of struct(start, rank, end, kind, hit) for the leftmost non-overlapping matches of a Java pattern.
 
     Offsets count code points, end exclusive. The pieces between matches come from split() and the matches from
     regexp_extract_all(), so each offset is a running sum of lengths. keep(hit, part) drops failing matches after
-    the offsets are known; part is the capturing group, or the hit itself.
+    the offsets are known; part is the capturing group, or the hit itself. A text without hint has no match.
     """
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hit:string>>")
 
@@ -89,7 +89,10 @@ def matches(text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Co
         zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
         return F.aggregate(rows, zero, step, lambda acc: acc["out"])
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, located(hits)).otherwise(empty))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if hint is not None:
+        hits = F.when(F.contains(text, F.lit(hint)), hits).otherwise(F.array().cast("array<string>"))
+    return let(hits, lambda h: F.when(F.size(h) > 0, located(h)).otherwise(empty))
 
 
 def span_text(spans: Column) -> Column:

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, packing, quality, simhash
+from . import decontam, langid, mixing, packing, pii, quality, secret_scan, simhash, token_count, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,12 +30,32 @@ def op3_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("doc_id", "size", "text_crc32", "'bytes' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     base, kept = quality.failed(quality.BASE).alias("base_failed"), (~quality.failed(quality.STRICT)).alias("kept")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base, kept, "fail_bits")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_mix_sources, op2_simhash_dedup, op3_best_fit_shards, op7_quality_ledger, op10_decontaminate, pipeline)
+    named = (op1_mix_sources, op2_simhash_dedup, op3_best_fit_shards, op4_secret_scan, op5_url_filter, op6_language_id, op7_quality_ledger, op8_pii, op9_token_counts, op10_decontaminate, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -139,5 +159,22 @@ FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+
+OP5_SQL = rf"""
+WITH rules(r_verdict, r_host, r_path) AS (VALUES {_RULES}),
+p AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages
+), best AS (
+  SELECT rid, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(r_verdict, length(r_host || r_path)) AS verdict
+  FROM p JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY rid
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op7_quality_ledger": OP7_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op5_url_filter": OP5_SQL, "op7_quality_ledger": OP7_SQL, "op10_decontaminate": OP10_SQL}
