@@ -12,15 +12,17 @@ counted by their ids. Repeated documents each get their row. Very long texts are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, words_of
+from .common import ascii_lower, checkpointed, free_name, words_of
 
 WINDOW = 8
 #: After lower-casing A-Z, all ASCII but digits and a-z separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows up to which the token table is broadcast (about 100 bytes a window); beyond, the join shuffles.
+#: Windows that are broadcast at once (about 100 bytes each); more windows make more blocks.
 BROADCAST_WINDOWS = 500_000
 #: No word can hold this, so it stands for the document itself in the stream of its words.
 SELF = "\x00"
@@ -42,49 +44,46 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     )
 
 
-def _small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; stops counting beyond."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def _side(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
+def _blocks(wins: DataFrame) -> int:
+    """Blocks of windows so that each is broadcast within its bound."""
+    return max(1, -(-wins.count() // BROADCAST_WINDOWS))
 
 
 def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """One row per document row: doc_id, copy_key, n_words, spans (distinct start and length), items (sorted ids).
+    """One row per distinct (doc_id, text): n_copies, n_words, spans (distinct start and length), items (sorted ids).
 
-    Rows with equal doc_id and text are one row here with n_copies of them.
+    Windows are a stated query set: all documents meet them block by block, each block within its broadcast bound.
     """
-    wins = windows(items, size).groupBy("window").agg(F.collect_set("item_id").alias("ids"))
-    small = _small(wins, BROADCAST_WINDOWS)
-    vocabulary = wins.select(F.explode("window").alias("word")).distinct()
+    wins = checkpointed(windows(items, size).groupBy("window").agg(F.collect_set("item_id").alias("ids")))
+    blocks = _blocks(wins)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     stream = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("text_bytes"), _words(F.col("text")).alias("words"))
-    counts = stream.select(F.explode("words").alias("word")).join(_side(vocabulary, small), "word").groupBy("word").agg(F.count("*").alias("n_found"))
+    vocabulary = wins.select(F.explode("window").alias("word")).distinct()
+    spoken = stream.select(F.explode("words").alias("word"))
+    counted = [spoken.join(F.broadcast(vocabulary.where(block("word") == i)), "word").groupBy("word").agg(F.count("*").alias("n_found")) for i in range(blocks)]
+    counts = reduce(DataFrame.union, counted)
     # The necessary token of a window: its rarest word over all documents, ties by the word itself.
     ranked = wins.select("window", "ids", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
     rare = F.struct(F.coalesce("n_found", F.lit(0)).alias("n"), F.col("word"), F.col("offset"))
-    tokens = ranked.groupBy("window").agg(F.first("ids").alias("ids"), F.min(rare).alias("t")).select(F.col("t.word").alias("token"), F.col("t.offset").alias("offset"), "window", "ids")
-    found = F.struct("offset", "window", "ids")
-    tokens = tokens.groupBy("token").agg(F.collect_list(found).alias("wins"))
-    tokens = tokens.union(docs.sparkSession.range(1).select(F.lit(SELF), F.array().cast(tokens.schema["wins"].dataType)))
-    placed = stream.select("doc_id", "text_key", "text_bytes", "words", F.posexplode(F.concat("words", F.array(F.lit(SELF)))).alias("pos", "word"))
-    met = placed.join(_side(tokens, small), placed["word"] == tokens["token"])
-
-    def verified(w: Column) -> Column:
-        start = F.col("pos") - w["offset"]
-        inside = (start >= 0) & (start + F.size(w["window"]) <= F.size("words"))
-        return F.when(inside, F.slice("words", start + 1, F.size(w["window"])) == w["window"]).otherwise(F.lit(False))
-
-    kept = met.select(
-        "doc_id", "text_key", "text_bytes", F.size("words").alias("n_words"), (F.col("word") == SELF).alias("own"),
-        F.transform(F.filter("wins", verified), lambda w: F.struct((F.col("pos") - w["offset"]).alias("start"), F.size(w["window"]).alias("n"), w["ids"].alias("ids"))).alias("at"),
-    ).where(F.col("own") | (F.size("at") > 0))
-    grouped = kept.groupBy("doc_id", "text_key", "text_bytes").agg(
-        F.max("n_words").alias("n_words"), F.count_if("own").alias("n_copies"), F.collect_set(F.when(F.size("at") > 0, F.col("at"))).alias("at"))
-    spans = F.array_sort(F.array_distinct(F.transform(F.flatten("at"), lambda a: F.struct(a["start"], a["n"]))))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten("at"), lambda a: a["ids"]))))
-    return grouped.select("doc_id", "text_key", "text_bytes", "n_copies", "n_words", spans.alias("spans"), ids.alias("items"))
+    tokens = checkpointed(ranked.groupBy("window").agg(F.first("ids").alias("ids"), F.min(rare).alias("t")).select(F.col("t.word").alias("token"), F.col("t.offset").alias("offset"), "window", "ids"))
+    itself = docs.sparkSession.range(1).select(F.lit(SELF), F.lit(0), F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+    def met(i: int) -> DataFrame:
+        side = tokens.where(block("token") == i)
+        own = F.array(F.lit(SELF)) if i == 0 else F.array().cast("array<string>")
+        placed = stream.select("doc_id", "text_key", "text_bytes", F.size("words").alias("n_words"), "words", F.posexplode(F.concat("words", own)).alias("pos", "word"))
+        # Bounds first, then the words one by one; all of it inside the join, so that only verified hits leave it.
+        start, n = F.col("pos") - F.col("offset"), F.size("window")
+        same = F.slice("words", F.greatest(start + 1, F.lit(1)), n) == F.col("window")
+        on = (F.col("word") == F.col("token")) & ((F.col("token") == SELF) | ((start >= 0) & (start + n <= F.col("n_words")) & same))
+        joined = placed.join(F.broadcast(side.union(itself) if i == 0 else side), on)
+        span = F.when(n > 0, F.struct(start.alias("start"), n.alias("n")))
+        return joined.select("doc_id", "text_key", "text_bytes", "n_words", (F.col("token") == SELF).alias("own"), span.alias("span"), F.when(n > 0, F.col("ids")).alias("ids"))
+
+    found = reduce(DataFrame.union, [met(i) for i in range(blocks)])
+    grouped = found.groupBy("doc_id", "text_key", "text_bytes").agg(
+        F.max("n_words").alias("n_words"), F.count_if("own").alias("n_copies"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("ids").alias("ids"))
+    return grouped.select("doc_id", "text_key", "text_bytes", "n_copies", "n_words", "spans", F.array_sort(F.array_distinct(F.flatten("ids"))).alias("items"))
 
 
 def _covered(spans: Column) -> Column:
@@ -110,8 +109,6 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_ite
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, min_items: int = 1) -> DataFrame:
     """docs without the rows that have windows of min_items items or more; same columns, no other change."""
-    from .common import free_name
-
     found = hits(docs, items, size).where(F.size("items") >= min_items).select("doc_id", "text_key", "text_bytes").distinct()
     key, size_name = free_name(docs, "text_key"), free_name(docs, "text_bytes")
     keyed = docs.withColumns({key: F.xxhash64("text"), size_name: F.octet_length("text")})
