@@ -96,7 +96,10 @@ def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     doc_key = F.xxhash64("doc_id", "text_key")
     pairs = near.select(doc_key.alias("doc"), "c.entity", "c.seen", F.explode(F.array_distinct(F.transform("c.words", lambda w: w["word"]))).alias("word"))
     joint = pairs.groupBy("entity", "word").agg(F.count_distinct("seen").alias("contexts"), F.count_distinct("doc").alias("together")).where(F.col("contexts") >= LEAST_CONTEXTS)
-    joint = checkpointed(joint)
+    # A word has at least the documents in which it is near any entity; by that bound alone most words, all the common
+    # ones, are out of reach of LEAST_SHARE before any document is read again.
+    least = pairs.groupBy("word").agg(F.count_distinct("doc").alias("n_near"))
+    joint = checkpointed(joint.join(least, "word").where(F.col("together") >= F.col("n_near") * LEAST_SHARE).drop("n_near"))
     vocabulary = joint.select("word").distinct()
     small = vocabulary.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
     spoken = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)), F.lower))).alias("word"))
