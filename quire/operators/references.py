@@ -9,28 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpointing import checkpointed
 from ..functions import paths
 from . import resolve
 
-#: Alias hops followed at most; a longer chain than there are aliases is a cycle and is cut before.
-HOPS = 32
 
 
-def alias_chains(aliases: DataFrame, live: DataFrame, hops: int = HOPS) -> DataFrame:
+def alias_chains(aliases: DataFrame, live: DataFrame) -> DataFrame:
     """(source, target) for every alias source whose chain reaches a live path; cycles and dead ends have no row.
 
-    Pointer doubling over the alias table: every round composes the map with itself, so a chain of n aliases takes
-    log2 n joins. The last line of a source wins.
+    Pointer doubling over the alias table: every round composes the map with itself, so that chains among n aliases
+    take log2 n joins, each checkpointed to keep the plan small. The last line of a source wins, and a live path's
+    own alias is ignored.
     """
     last = aliases.groupBy("source").agg(F.max_by("target", "line").alias("target"))
-    alive = live.select(F.col("path").alias("target"), F.lit(True).alias("alive"))
-    # A live path is never left: its own alias is ignored.
-    now = last.join(live.select(F.col("path").alias("source")), "source", "left_anti").join(alive, "target", "left").select("source", "target", F.coalesce("alive", F.lit(False)).alias("done"))
-    n = 1
-    while n < hops:
+    alive = live.select(F.col("path").alias("target")).distinct().withColumn("alive", F.lit(True))
+    open_ = last.join(live.select(F.col("path").alias("source")), "source", "left_anti")
+    now = checkpointed(open_.join(alive, "target", "left").select("source", "target", F.coalesce("alive", F.lit(False)).alias("done")))
+    for _ in range(now.count().bit_length()):
         step = now.select(F.col("source").alias("target"), F.col("target").alias("next"), F.col("done").alias("next_done"))
-        now = now.join(step, "target", "left").select("source", F.when(~F.col("done") & F.col("next").isNotNull(), F.col("next")).otherwise(F.col("target")).alias("target"), (F.col("done") | F.coalesce("next_done", F.lit(False))).alias("done"))
-        n *= 2
+        onward = ~F.col("done") & F.col("next").isNotNull()
+        now = checkpointed(now.join(step, "target", "left").select("source", F.when(onward, F.col("next")).otherwise(F.col("target")).alias("target"), (F.col("done") | F.coalesce("next_done", F.lit(False))).alias("done")))
     return now.where("done").select("source", "target")
 
 
@@ -64,7 +63,7 @@ def node_status(refs: DataFrame, nodes: DataFrame, anchors: DataFrame, longest:
     addresses = live.select(F.col("ref_id").alias("address_id"), F.col("record").alias("path"), F.col("fragment_kind").alias("kind"), "steps")
     found = resolve.resolve(addresses, nodes, anchors, longest)
     read = nodes.where("at = ''").select(F.col("path").alias("record"), F.lit(True).alias("readable"))
-    joined = live.join(read, "record", "left").join(found.select(F.col("address_id").alias("ref_id"), "at", F.col("status").alias("found")), "ref_id", "left")
+    joined = live.join(read, "record", "left").join(found.select(F.col("address_id").alias("ref_id"), F.col("at").alias("found_at"), F.col("status").alias("found")), "ref_id", "left")
     status = (
         F.when((F.col("fragment_kind") == "root"), F.col("status"))
         .when(F.col("readable").isNull(), "unreadable")
@@ -72,7 +71,7 @@ def node_status(refs: DataFrame, nodes: DataFrame, anchors: DataFrame, longest:
         .when(F.col("found") == "not-found", "dangling")
         .otherwise(F.col("status"))
     )
-    settled = joined.select("ref_id", status.alias("status"), F.when(status.isin("ok", "aliased"), F.coalesce("at", F.lit(""))).alias("at"))
+    settled = joined.select("ref_id", status.alias("status"), F.when(status.isin("ok", "aliased"), F.coalesce("found_at", F.lit(""))).alias("at"))
     rest = refs.where("status not in ('ok', 'aliased')").select("ref_id", "status", F.lit(None).cast("string").alias("at"))
     return settled.unionByName(rest).dropDuplicates(["ref_id", "at"])
 

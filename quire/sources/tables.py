@@ -55,11 +55,13 @@ def order_nodes(orders: DataFrame, items: DataFrame) -> DataFrame:
     number = F.col("l_linenumber").cast("string")
     at = F.concat(F.lit("/lineitems/"), number)
     rows = items.select(record_path("orders", F.col("l_orderkey")).alias("path"), at.alias("at"), number.alias("n"), F.col("l_quantity").cast("string").alias("q"), F.col("l_returnflag").alias("f"), F.col("l_linenumber").cast("long").alias("o"))
+    kind = "array<struct<at:string,parent:string,step:string,kind:string,value:string,doc_order:bigint>>"
+    none = F.lit(None).cast("string")
     held = F.array(
-        F.struct(F.col("at"), F.lit("/lineitems").alias("parent"), F.col("n").alias("step"), F.lit("object").alias("kind"), F.lit(None).cast("string").alias("value"), (10 * F.col("o")).alias("doc_order")),
-        F.struct(F.concat("at", F.lit("/l_quantity")), F.col("at"), F.lit("l_quantity"), F.lit("scalar"), F.col("q"), 10 * F.col("o") + 1),
-        F.struct(F.concat("at", F.lit("/l_returnflag")), F.col("at"), F.lit("l_returnflag"), F.lit("scalar"), F.col("f"), 10 * F.col("o") + 2),
-    )
+        F.struct(F.col("at"), F.lit("/lineitems").alias("b"), F.col("n").alias("c"), F.lit("object").alias("d"), none.alias("e"), (10 * F.col("o")).alias("f")),
+        F.struct(F.concat("at", F.lit("/l_quantity")).alias("at"), F.col("at").alias("b"), F.lit("l_quantity").alias("c"), F.lit("scalar").alias("d"), F.col("q").alias("e"), (10 * F.col("o") + 1).alias("f")),
+        F.struct(F.concat("at", F.lit("/l_returnflag")).alias("at"), F.col("at").alias("b"), F.lit("l_returnflag").alias("c"), F.lit("scalar").alias("d"), F.col("f").alias("e"), (10 * F.col("o") + 2).alias("f")),
+    ).cast(kind)
     return scalars.unionByName(lists).unionByName(rows.select("path", F.explode(held).alias("h")).select("path", "h.*"))
 
 
