@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONG = 128
-NODES = 400_000
+NODES = 1_500_000
 #: Added to a rank before its logarithm is taken; common pieces then differ little.
 RANK_SHIFT = 100
 
@@ -43,60 +43,73 @@ def pieces_of(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class Trie:
-    """Prefixes of the pre-tokens seen; a node is [best score, pieces, {character: node}]."""
+    """Prefixes of the pre-tokens seen. Nodes are numbers; children, scores and piece counts are flat tables, so that
+    the garbage collector has nothing to walk."""
 
     def __init__(self, pieces: dict[str, float], nodes: int = NODES) -> None:
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.byte = min(pieces.values(), default=-1.0) - 1.0
         self.limit = nodes
         self.counts: dict[str, int] = {}
+        ends: dict[str, set[int]] = {}
+        for p in pieces:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        #: Last two characters -> lengths of the pieces that end with them.
+        self.lengths = {k: tuple(sorted(v)) for k, v in ends.items()}
         self.clear()
 
     def clear(self) -> None:
-        self.root: list = [0.0, 0, {}]
-        self.size = 1
+        self.children: dict[int, int] = {}
+        self.scores, self.used = [0.0], [0]
         self.counts.clear()
 
-    def _state(self, word: str, end: int, path: list) -> tuple[float, int]:
-        """Best (score, pieces) of word[:end], given those of its prefixes in path."""
-        ch = word[end - 1]
-        best, count = path[end - 1][0], path[end - 1][1]
-        n = len(ch.encode("utf-8", "surrogatepass"))
-        score, used = (best + self.byte * n, count + n) if ch not in self.pieces else (best + self.pieces[ch], count + 1)
-        get = self.pieces.get
-        for length in range(2, min(self.longest, end) + 1):
+    def _extend(self, word: str, end: int, path: list[int]) -> None:
+        """Appends the best (score, pieces) of word[:end], given those of its prefixes; path has their numbers."""
+        scores, used, get = self.scores, self.used, self.pieces.get
+        ch, last = word[end - 1], path[-1]
+        own = get(ch)
+        if own is None:
+            n = len(ch.encode("utf-8", "surrogatepass"))
+            score, count = scores[last] + self.byte * n, used[last] + n
+        else:
+            score, count = scores[last] + own, used[last] + 1
+        for length in self.lengths.get(word[end - 2 : end], ()) if end > 1 else ():
+            if length > end:
+                break
             piece = get(word[end - length : end])
             if piece is not None:
                 before = path[end - length]
-                total, pieces = before[0] + piece, before[1] + 1
-                if total > score or (total == score and pieces < used):
-                    score, used = total, pieces
-        return score, used
+                total = scores[before] + piece
+                if total > score or (total == score and used[before] + 1 < count):
+                    score, count = total, used[before] + 1
+        scores.append(score)
+        used.append(count)
 
     def count(self, word: str) -> int:
         """Pieces in the best segmentation of the pre-token."""
         got = self.counts.get(word)
         if got is not None:
             return got
-        if len(word) > LONG:
-            path: list = [self.root]
-            for end in range(1, len(word) + 1):
-                path.append(self._state(word, end, path))
-            return path[-1][1]
-        if self.size > self.limit:
+        if len(word) <= LONG and len(self.scores) > self.limit:
             self.clear()
-        path, node = [self.root], self.root
-        for end in range(1, len(word) + 1):
-            child = node[2].get(word[end - 1])
+        path, node, kept = [0], 0, len(self.scores)
+        for end, ch in enumerate(word, 1):
+            key = node * 0x110000 + ord(ch)
+            child = self.children.get(key) if len(word) <= LONG else None
             if child is None:
-                score, used = self._state(word, end, path)
-                child = node[2][word[end - 1]] = [score, used, {}]
-                self.size += 1
+                child = len(self.scores)
+                self._extend(word, end, path)
+                if len(word) <= LONG:
+                    self.children[key] = child
             path.append(child)
             node = child
-        self.counts[word] = node[1]
-        return node[1]
+        out = self.used[node]
+        if len(word) > LONG:
+            del self.scores[kept:], self.used[kept:]
+        else:
+            self.counts[word] = out
+        return out
 
 
 _TRIES: dict[str, Trie] = {}
