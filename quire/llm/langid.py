@@ -25,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 SAMPLE = 4_000
 WORDS = 30_000
 NGRAMS = 60_000
 LENGTHS = (5, 4, 3, 2, 1)
 FOLDS = 5
+#: Languages up to which their counts are broadcast; beyond, the sample is drawn by a shuffle join.
+BROADCAST_LANGUAGES = 10_000
 #: Words whose scores a Python worker keeps; it starts over beyond.
 CACHE = 300_000
 #: Longer words (runs of letters without a break) are scored by their n-grams and not kept.
@@ -48,6 +52,9 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """lang and text of about per_language training documents of each language (all, if there are fewer)."""
     rows = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
+    counts = checkpointed(counts)
+    small = counts.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    counts = F.broadcast(counts) if small else counts
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(1_000_003)) < F.lit(1_000_003.0 * per_language) / F.col("n")
     return rows.join(counts, (F.col("lang") == F.col("l")) & drawn).select("lang", "text")
 
@@ -57,22 +64,21 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> dict:
     words = sample(docs, per_language).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
-    grams = [
-        F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.concat(F.lit(str(n)), F.substring(padded, i, F.lit(n))))
-        for n in LENGTHS
-    ]
-    pieces = F.array(F.concat(F.lit("w"), F.col("word")))
-    for n, g in zip(LENGTHS, grams, strict=True):
-        pieces = F.concat(pieces, F.when(F.length(padded) >= n, g).otherwise(F.array().cast("array<string>")))
+
+    def grams(n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.concat(F.lit(str(n)), F.substring(padded, i, F.lit(n))))
+        return F.when(F.length(padded) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.concat(F.array(F.concat(F.lit("w"), F.col("word"))), *map(grams, LENGTHS))
     short = counted.where(F.length("word") <= LONG)
-    entries = short.select("lang", "n", F.explode(pieces).alias("entry")).groupBy("lang", "entry").agg(F.sum("n").alias("n"))
+    entries = checkpointed(short.select("lang", "n", F.explode(pieces).alias("entry")).groupBy("lang", "entry").agg(F.sum("n").alias("n")))
     kind = F.substring("entry", 1, 1)
     is_word = (kind == "w").alias("is_word")
     totals = entries.groupBy("lang", kind.alias("kind")).agg(F.sum("n").alias("total"))
     by = Window.partitionBy("lang", "is_word").orderBy(F.desc("n"), "entry")
     top = entries.select("lang", "entry", "n", is_word).withColumn("r", F.row_number().over(by)).where(F.col("r") <= F.when(F.col("is_word"), WORDS).otherwise(NGRAMS))
-    languages = sorted({r["lang"] for r in totals.select("lang").distinct().collect()})
     total = {(r["lang"], r["kind"]): r["total"] for r in totals.collect()}
+    languages = sorted({lang for lang, _ in total})
     at = {lang: i for i, lang in enumerate(languages)}
     known: dict[str, int] = {}
     table = np.zeros((4096, len(languages)), dtype=np.float32)
@@ -90,37 +96,40 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> dict:
 
 
 class Scorer(dict):
-    """Word -> row of scores in a growing table; computes and keeps what it lacks."""
+    """Word -> row of its scores in a growing table. A text's unseen words are scored together and kept."""
 
     def __init__(self, model: dict) -> None:
         super().__init__()
-        self.known, self.scores = model["known"], model["table"]
+        self.known = model["known"]
         self.width = len(model["languages"])
+        self.scores = np.vstack([model["table"], np.zeros((1, self.width), dtype=np.float32)])
+        self.nothing = [len(self.scores) - 1]
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.table = np.zeros((1024, self.width), dtype=np.float32)
 
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row >= len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        self.table[row] = self.score(word)
-        self[word] = row
-        return row
-
-    def score(self, word: str) -> np.ndarray:
-        got = self.known.get("w" + word)
+    def entries(self, word: str) -> list[int]:
+        """Rows of the model that score a word: the word's own, else its known n-grams of the longest length that has any."""
+        known = self.known.get
+        got = known("w" + word)
         if got is not None:
-            return self.scores[got]
+            return [got]
         padded = f"<{word}>"
         for n in LENGTHS:
             label = str(n)
-            found = [g for i in range(len(padded) - n + 1) if (g := self.known.get(label + padded[i : i + n])) is not None]
+            found = [g for i in range(len(padded) - n + 1) if (g := known(label + padded[i : i + n])) is not None]
             if found:
-                return self.scores[found].mean(axis=0)
-        return np.zeros(self.width, dtype=np.float32)
+                return found
+        return self.nothing
+
+    def rows_for(self, words: list[str]) -> np.ndarray:
+        """Scores of the words: the mean over their entries."""
+        found = [self.entries(w) for w in words]
+        sizes = np.array([len(f) for f in found])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        return np.add.reduceat(self.scores[[i for f in found for i in f]], starts, axis=0) / sizes[:, None]
 
     def mean(self, text: str) -> np.ndarray | None:
         """Mean score of the words; None without letters."""
@@ -129,11 +138,22 @@ class Scorer(dict):
             return None
         if len(self) > CACHE:
             self.reset()
-        long = [w for w in words if len(w) > LONG]
-        rows = [self[w] for w in words if len(w) <= LONG] if long else list(map(self.__getitem__, words))
-        total = self.table[rows].sum(axis=0, dtype=np.float64) if rows else np.zeros(self.width)
-        for w in long:
-            total = total + self.score(w)
+        distinct = set(words)
+        new = [w for w in distinct if w not in self and len(w) <= LONG]
+        if new:
+            first, last = len(self), len(self) + len(new)
+            while last > len(self.table):
+                self.table = np.vstack([self.table, np.zeros_like(self.table)])
+            self.table[first:last] = self.rows_for(new)
+            self.update(zip(new, range(first, last), strict=True))
+        total = np.zeros(self.width)
+        if any(len(w) > LONG for w in distinct):
+            total += self.rows_for([w for w in words if len(w) > LONG]).sum(axis=0)
+            words_kept = [w for w in words if len(w) <= LONG]
+        else:
+            words_kept = words
+        if words_kept:
+            total += self.table[list(map(self.__getitem__, words_kept))].sum(axis=0, dtype=np.float64)
         return total / len(words)
 
 

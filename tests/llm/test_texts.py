@@ -77,10 +77,8 @@ def test_no_labels_and_no_rows(docs_of):
 def test_backoff_goes_to_shorter_pieces():
     model = {"languages": ["a", "b"], "known": {"wknown": 0, "3zzz": 1, "1q": 2}, "table": __import__("numpy").array([[-1.0, -2.0], [-3.0, -1.0], [-1.0, -5.0]], dtype="float32")}
     scorer = langid.Scorer(model)
-    assert list(scorer.score("known")) == [-1.0, -2.0]
-    assert list(scorer.score("xzzzx")) == [-3.0, -1.0]
-    assert list(scorer.score("aqa")) == [-1.0, -5.0]
-    assert list(scorer.score("###")) == [0.0, 0.0]
+    assert scorer.rows_for(["known", "xzzzx", "aqa", "###"]).tolist() == [[-1.0, -2.0], [-3.0, -1.0], [-1.0, -5.0], [0.0, 0.0]]
+    assert scorer.mean("Known, known aqa").tolist() == [-1.0, -3.0] and scorer.mean("known " + "q" * 80).tolist() == [-1.0, -3.5] and scorer.mean("1 2") is None
 
 
 def brute_tokens(word, pieces, byte):
