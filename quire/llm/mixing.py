@@ -22,6 +22,9 @@ from .common import checkpointed, free_name
 DIGITS = 13
 #: The largest rate that is inverted at once; exp(-rate) stays far from underflow.
 RATE_PART = 256
+#: Sources up to which their table is broadcast (its distributions have at most TERMS + 1 numbers each, mostly a few
+#: dozen); beyond, documents and sources are shuffled, and the adaptive join splits hot sources.
+BROADCAST_SOURCES = 10_000
 #: Terms of a distribution that are stored; beyond them a double's sum no longer grows for rates up to RATE_PART.
 TERMS = 512
 
@@ -69,7 +72,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     columns = docs.columns
     per = rates(docs, weights, default_weight)
     names = {n: free_name(docs, f"mix_{n}") for n in ("source", "rate", "parts", "cdf", "n", "copy", "key")}
+    small = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     per = per.select(*(F.col(c).alias(names[c]) for c in ("source", "rate", "parts", "cdf")))
+    per = F.broadcast(per) if small else per
     scale = F.lit(float(1 << (4 * DIGITS)))
 
     def drawn(i: Column) -> Column:
