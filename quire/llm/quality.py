@@ -23,7 +23,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("long_words", "word_chars > 10 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines"),
     ("shouting", "10 * n_marks > 3 * n_words"),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
