@@ -7,7 +7,7 @@ addresses cost the same plan as one. Singular evaluation stops at the first step
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,35 +41,30 @@ def semantic(addresses: DataFrame, nodes: DataFrame, anchors: DataFrame, longest
     """(address_id, path, at, status, step): the nodes reached, with status ok or ambiguous and the step reached.
 
     longest is the greatest number of steps among the addresses. In singular mode a step with several matches ends
-    its address there as ambiguous; a selector goes on with every match.
+    its address there as ambiguous; a selector goes on with every match. Ended rows ride along, so that the plan is
+    one chain of a join and a window a step.
     """
     now = first_step(addresses, nodes, anchors).select("address_id", "path", "steps", "at")
+    now = now.withColumn("status", F.lit(None).cast("string")).withColumn("step", F.lit(None).cast("int"))
     links = nodes.select("path", F.col("parent").alias("at"), F.col("step").alias("name"), F.col("at").alias("next"))
-    done = []
     for n in range(1, longest + 1):
-        if singular:
-            counts = now.groupBy("address_id").agg(F.count("*").alias("n"))
-            now = now.join(counts, "address_id")
-            done.append(now.where("n > 1").select("address_id", "path", "at", F.lit("ambiguous").alias("status"), F.lit(n).alias("step")))
-            now = now.where("n = 1").drop("n")
-        done.append(now.where(F.size("steps") == n).select("address_id", "path", "at", F.lit("ok").alias("status"), F.lit(n).alias("step")))
+        several = F.count("*").over(Window.partitionBy("address_id")) > 1 if singular else F.lit(False)
+        ended = F.when(several, "ambiguous").when(F.size("steps") == n, "ok")
+        now = now.withColumn("now", F.coalesce("status", ended)).withColumn("step", F.coalesce("step", F.when(F.col("now").isNotNull(), F.lit(n)))).drop("status").withColumnRenamed("now", "status")
         if n < longest:
-            open_ = now.where(F.size("steps") > n).withColumn("name", F.element_at("steps", n + 1))
-            now = open_.join(links, ["path", "at", "name"]).select("address_id", "path", "steps", F.col("next").alias("at"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+            named = now.withColumn("name", F.when(F.col("status").isNull(), F.get("steps", F.lit(n))))
+            now = named.join(links, ["path", "at", "name"], "left").where(F.col("status").isNotNull() | F.col("next").isNotNull())
+            now = now.select("address_id", "path", "steps", F.coalesce("next", "at").alias("at"), "status", "step")
+    return now.where("status is not null").select("address_id", "path", "at", "status", "step")
 
 
 def resolve(addresses: DataFrame, nodes: DataFrame, anchors: DataFrame, longest: int, singular: bool = True) -> DataFrame:
     """Every address with status ok, ambiguous or not-found, and one row per node (at null if none)."""
-    roots = addresses.where("kind = 'root'").join(nodes.where("at = ''").select("path"), "path", "left_semi").select("address_id", "path", F.lit("").alias("at"), F.lit("ok").alias("status"))
-    by_path = exact(addresses, nodes).select("address_id", "path", "at", F.lit("ok").alias("status"))
-    by_step = semantic(addresses, nodes, anchors, longest, singular).select("address_id", "path", "at", "status")
+    roots = addresses.where("kind = 'root'").join(nodes.where("at = ''").select("path"), "path", "left_semi").select("address_id", F.lit("").alias("at"), F.lit("ok").alias("status"))
+    by_path = exact(addresses, nodes).select("address_id", "at", F.lit("ok").alias("status"))
+    by_step = semantic(addresses, nodes, anchors, longest, singular).select("address_id", "at", "status")
     found = roots.unionByName(by_path).unionByName(by_step)
-    missing = addresses.join(found, "address_id", "left_anti").select("address_id", "path", F.lit(None).cast("string").alias("at"), F.lit("not-found").alias("status"))
-    return found.unionByName(missing)
+    return addresses.select("address_id", "path").join(found, "address_id", "left").select("address_id", "path", "at", F.coalesce("status", F.lit("not-found")).alias("status"))
 
 
 def ancestors(at: Column) -> Column:

@@ -212,6 +212,13 @@ def _from_data(out: Record, value: dict, spans: dict[str, tuple[int, int]]) -> N
 
 
 def _from_markdown(out: Record, text: str, bom: int) -> None:
+    try:
+        _shred_markdown(out, text, bom)
+    except (LimitError, ValueError, RecursionError) as e:
+        out.issues.append(Issue("syntax-error", "", str(e)))
+
+
+def _shred_markdown(out: Record, text: str, bom: int) -> None:
     reader = read_markdown(re.sub(r"\r\n?", "\n", text), bom)
     out.issues += reader.issues
     if any(i.code == "syntax-error" for i in out.issues):

@@ -6,6 +6,7 @@ or build_index() and open_index() to keep it as Parquet.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -72,10 +73,20 @@ def memory_files(spark: SparkSession, files: dict[str, str | bytes]) -> DataFram
 
 
 def folder_files(spark: SparkSession, root: str) -> DataFrame:
-    """A files table of a folder in any file system that Spark reads; paths are relative to the root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    top = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    relative = F.regexp_replace(F.col("path"), rf"^(?:[a-z]+:/*)?/*{top.lstrip('/')}/", "")
+    """A files table of a folder in any file system that Spark reads; paths are relative to the root.
+
+    Spark's file sources leave out names that start with . or _, so the configuration folder is read on its own, and
+    records whose names start with _ aren't seen.
+    """
+    top = root.rstrip("/")
+    bare = top.split("://")[-1].removeprefix("file:").lstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top}/.vmd")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    raw = None
+    for folder in [top, f"{top}/.vmd"][: 2 if there else 1]:
+        part = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        raw = part if raw is None else raw.unionByName(part)
+    relative = F.regexp_replace(F.regexp_replace(F.col("path"), "^[a-z]+:/*", ""), f"^{re.escape(bare)}/", "")
     return raw.select(relative.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).where(~F.col("path").rlike(r"(?:^|/)\.git(?:/|$)"))
 
 
