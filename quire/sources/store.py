@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from ..checkpointing import checkpointed
 from ..functions import paths, uri
 from ..functions.text import git_blob_id
-from ..operators import checks, listing, references, resolve
+from ..operators import binding, checks, listing, references, resolve
 from ..parse.arrow import exploded, parse_files
 from ..plans.query import condition
 from ..plans.scopes import ValueScope
+from ..schema.spine import declared_refs
 from ..schema.validate import compile_schema, validate_records
 
 CONFIG = ".vmd/config.yaml"
@@ -135,9 +136,31 @@ class Store:
         held = self.files.select("path", "collections", "size")
         return self.parsed.select("path", "format", "version", "readable", "value").join(held, "path")
 
+    @cached_property
+    def schemas(self) -> dict[str, object]:
+        """Collection -> its schema, inline or from the schema folder."""
+        out = {}
+        for name, c in self.config.collections.items():
+            text = self._text(f".vmd/schema/{c['schema']}") if isinstance(c.get("schema"), str) else None
+            schema = yaml.safe_load(text) if text else c.get("schema") if isinstance(c.get("schema"), dict) else None
+            if schema:
+                out[name] = schema
+        return out
+
+    def _of(self, name: str) -> Column:
+        """Whether a row's path is claimed by this collection alone."""
+        claimed = paths.collections_of(F.col("path"), self.config.collections)
+        return (F.size(claimed) == 1) & F.array_contains(claimed, name)
+
     @property
     def nodes(self) -> DataFrame:
-        return exploded(self.parsed.where("readable"), "nodes")
+        """Nodes of readable records; steps into declared keyed lists are keys."""
+        rows = exploded(self.parsed.where("readable"), "nodes")
+        for name, schema in self.schemas.items():
+            lists = binding.keyed_lists(schema)
+            if lists:
+                rows = binding.bind_keys(rows.where(self._of(name)), lists).unionByName(rows.where(~self._of(name)))
+        return rows
 
     @property
     def anchors(self) -> DataFrame:
@@ -161,6 +184,13 @@ class Store:
     def refs(self) -> DataFrame:
         """References with their resolved target: ref_id, path, at, kind, raw, start, target, fragment_kind, steps."""
         raw = exploded(self.parsed.where("readable"), "refs")
+        for name, schema in self.schemas.items():
+            if any(word in str(schema) for word in ("x-vmd-ref",)):
+                own = self.parsed.where(F.col("readable") & self._of(name))
+                typed = binding.extract_typed(own, schema)
+                # A $ref object with a declaration is still one reference.
+                fresh = typed.select("path", "at", F.lit("typed").alias("kind"), "raw", F.lit(0).cast("long").alias("start")).join(raw.select("path", "at"), ["path", "at"], "left_anti")
+                raw = raw.unionByName(fresh)
         u = uri.resolve(F.col("raw"), F.col("path"))
         r = raw.withColumn("u", u).withColumn("ref_id", F.xxhash64("path", "at", "start", "raw"))
         inside = F.col("u.kind").isin("path", "directory")
@@ -244,12 +274,9 @@ class Store:
     def validation(self) -> DataFrame:
         """Schema violations of every collection that has an inline or file schema."""
         parts = []
-        for name, c in self.config.collections.items():
-            text = self._text(f".vmd/schema/{c['schema']}") if isinstance(c.get("schema"), str) else None
-            schema = yaml.safe_load(text) if text else c.get("schema") if isinstance(c.get("schema"), dict) else None
-            if schema:
-                own = self.records.where((F.size("collections") == 1) & (F.element_at("collections", 1) == name) & F.col("readable"))
-                parts.append(validate_records(own, compile_schema(schema)))
+        for name, schema in self.schemas.items():
+            own = self.records.where((F.size("collections") == 1) & (F.element_at("collections", 1) == name) & F.col("readable"))
+            parts.append(validate_records(own, compile_schema(schema)))
         return checks.union_all(parts) if parts else self.all_files.sparkSession.createDataFrame([], "code string, path string, at string, message string")
 
     def check(self, changed: DataFrame | None = None) -> DataFrame:
@@ -284,9 +311,16 @@ class Store:
         return checks.issues_of(names.where(test), "filename-mismatch")
 
     def _reference_issues(self) -> DataFrame:
-        r = self.resolved_refs().where("status not in ('ok', 'outside')").select("ref_id", "path", "at", "raw", "status").distinct()
+        resolved = self.resolved_refs()
+        r = resolved.where("status not in ('ok', 'outside')").select("ref_id", "path", "at", "raw", "status").distinct()
         code = F.when(F.col("status") == "unreadable", "ref-target-unreadable").otherwise(F.concat(F.lit("ref-"), "status"))
-        return r.select(code.alias("code"), "path", "at", F.col("raw").alias("message"))
+        parts = [r.select(code.alias("code"), "path", "at", F.col("raw").alias("message")), binding.fragile_issues(resolved, self.anchors, self.nodes)]
+        for name, schema in self.schemas.items():
+            for path, ref in declared_refs(schema):
+                if ref.get("targets"):
+                    own = resolved.where(self._of(name) & F.col("at").rlike(path))
+                    parts.append(binding.target_issues(own, self.files, ref["targets"], set(self.config.collections)))
+        return checks.union_all(parts)
 
     def build_index(self, folder: str) -> None:
         """Appends the parse of every version that the index lacks, as Parquet."""
