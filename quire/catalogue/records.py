@@ -109,13 +109,13 @@ def refs_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.outgoing(resolved_keys(spark, sf_dir), "orders/7.json").select("ref_id", "target")
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 45)
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)
 SELECT record, "at", CAST(count(DISTINCT ref_id) AS BIGINT) AS n_refs FROM (
   SELECT 'orders/' || l_orderkey || '.json' AS record, l_partkey || '-' || l_suppkey || '-' || l_orderkey || '-' || l_linenumber AS ref_id, unnest(['', '/lineitems', '/lineitems/' || l_linenumber]) AS "at" FROM t
 ) GROUP BY ALL""")
 def refs_in_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References into each node or below it: items cited by (part, supplier) records."""
-    items = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    items = table(spark, sf_dir, "lineitem")
     ref_id = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")))
     refs = items.select(ref_id.alias("ref_id"), F.lit("ok").alias("status"), record_path("orders", F.col("l_orderkey")).alias("record"), F.concat(F.lit("/lineitems/"), F.col("l_linenumber").cast("string")).alias("target_at"))
     return references.counts_into(refs)
@@ -143,14 +143,12 @@ def alias_shadowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT page_id, position, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(href, '//') THEN 'outside' WHEN href = '/' OR ends_with(href, '/') THEN 'directory' ELSE 'path' END AS kind
-FROM (SELECT page_id, CAST(i - 1 AS INTEGER) AS position, h[i] AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS h FROM pages), unnest(range(1, len(h) + 1)) AS u(i))
-WHERE NOT contains(href, '%') AND NOT contains(href, '..')""")
+FROM (SELECT page_id, CAST(i - 1 AS INTEGER) AS position, h[i] AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS h FROM pages), unnest(range(1, len(h) + 1)) AS u(i))""")
 def uri_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages, resolved against the page's own path."""
     links = page_links(table(spark, sf_dir, "pages"))
     citing = F.regexp_replace("url", "^[a-z]+://", "")
-    kept = links.where(~F.col("href").contains("%") & ~F.col("href").contains(".."))
-    return kept.select("page_id", "position", "href", uri.resolve(F.col("href"), citing)["kind"].alias("kind"))
+    return links.select("page_id", "position", "href", uri.resolve(F.col("href"), citing)["kind"].alias("kind"))
 
 
 @query("SELECT 'conversations/' || conv_id || '.json' AS path, 'duplicate-key' AS code, '/$sections/' || turn AS \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) WHERE n > 1")
@@ -293,14 +291,13 @@ def outline_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.where((F.col("path") == "conversations/3.json") & (F.col("depth") == 1)).select("path", "at", "title", F.octet_length("body").cast("long").alias("size"))
 
 
-@query("SELECT role AS kind, substr(sha256('{\"$body\":' || to_json(text) || ',\"$title\":' || to_json(role) || '}'), 1, 16) AS version FROM conversations WHERE text NOT LIKE '%\\%' AND length(text) < 200")
+@query("SELECT role AS kind, substr(sha256('{\"$body\":' || to_json(text) || ',\"$title\":' || to_json(role) || '}'), 1, 16) AS version FROM conversations")
 def node_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 16 hex digits of the SHA-256 of the section's canonical JSON."""
     quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30)
     item = lambda c: F.regexp_replace(quoted(F.col(c)), r"\]$", "")
-    text_ok = (~F.col("text").contains("\\")) & (F.length("text") < 200)
     canonical = F.concat(F.lit('{"$body":'), item("text"), F.lit(',"$title":'), item("role"), F.lit("}"))
-    return table(spark, sf_dir, "conversations").where(text_ok).select(F.col("role").alias("kind"), F.substring(F.sha2(canonical, 256), 1, 16).alias("version"))
+    return table(spark, sf_dir, "conversations").select(F.col("role").alias("kind"), F.substring(F.sha2(canonical, 256), 1, 16).alias("version"))
 
 
 @query("SELECT 'docs/' || source || '/' || doc_id || '.md' AS path FROM documents WHERE doc_id % 10 = 0")
