@@ -10,13 +10,13 @@ type: object
 properties:
   parent: {type: string, format: uri-reference, x-vmd-ref: {targets: [tickets]}}
   links: {type: array, items: {type: string, format: uri-reference, x-vmd-ref: {targets: ["docs/**"]}}}
-  benchmarks: {type: array, x-vmd-list: {type: map, keys: [name], required: [base]}}
+  timings: {type: array, x-vmd-list: {type: map, keys: [name], required: [base]}}
 """
 FILES = {
     ".vmd/config.yaml": "collections:\n  tickets:\n    match: ['tickets/*']\n    schema: t.yaml\n    key: {pattern: '^0*([0-9]+)'}\n  runs:\n    match: ['runs/*']\n    key: id\n",
     ".vmd/schema/t.yaml": SCHEMA,
-    "tickets/001-a.yaml": "parent: 002-b.md\nlinks: [../docs/d.md#part, 002-b.md]\nbenchmarks:\n  - {name: base, p99: 7}\n  - {name: append-4k, p99: 9}\n",
-    "tickets/002-b.md": "---\nparent: ../docs/d.md\n---\n# B\n\nsee [p](../docs/d.md#part), [r](../docs/d.md#same), [f](001-a.yaml#benchmarks/append-4k/p99), [i](001-a.yaml#benchmarks/0)\n",
+    "tickets/001-a.yaml": "parent: 002-b.md\nlinks: [../docs/d.md#part, 002-b.md]\ntimings:\n  - {name: base, ms: 7}\n  - {name: large, ms: 9}\n",
+    "tickets/002-b.md": "---\nparent: ../docs/d.md\n---\n# B\n\nsee [p](../docs/d.md#part), [r](../docs/d.md#same), [f](001-a.yaml#timings/large/ms), [i](001-a.yaml#timings/0)\n",
     "docs/d.md": "# D\n\n## Part\n\n## Same\n\nx\n\n### Same\n",
     "runs/r.json": '{"id": "R7"}',
 }
@@ -28,9 +28,9 @@ def store(spark):
 
 
 def test_keyed_items_are_named_by_key(store):
-    got = {r["address_id"]: (r["at"], r["status"]) for r in store.resolve(["tickets/001-a.yaml#benchmarks/append-4k/p99", "tickets/001-a.yaml#benchmarks/0", "tickets/001-a.yaml#/benchmarks/0/p99"]).collect()}
-    assert got == {0: ("/benchmarks/1/p99", "ok"), 1: (None, "not-found"), 2: ("/benchmarks/0/p99", "ok")}
-    issues = checks.keyed_list_issues(binding.list_items(store.nodes, "/benchmarks", "name"), ["base", "other"], unique=True)
+    got = {r["address_id"]: (r["at"], r["status"]) for r in store.resolve(["tickets/001-a.yaml#timings/large/ms", "tickets/001-a.yaml#timings/0", "tickets/001-a.yaml#/timings/0/ms"]).collect()}
+    assert got == {0: ("/timings/1/ms", "ok"), 1: (None, "not-found"), 2: ("/timings/0/ms", "ok")}
+    issues = checks.keyed_list_issues(binding.list_items(store.nodes, "/timings", "name"), ["base", "other"], unique=True)
     assert [(r["code"], r["message"]) for r in issues.collect()] == [("keyed-list-required", "other")]
 
 
@@ -40,7 +40,7 @@ def test_typed_references_and_warnings(store):
     got = {(r["code"], r["path"], r["message"]) for r in store.check().collect() if r["code"].startswith("ref-")}
     assert ("ref-target-not-allowed", "tickets/002-b.md", "../docs/d.md") in got and ("ref-target-not-allowed", "tickets/001-a.yaml", "002-b.md") in got
     assert ("ref-derived-anchor", "tickets/002-b.md", "../docs/d.md#part") in got and ("ref-derived-repeat", "tickets/002-b.md", "../docs/d.md#same") in got
-    assert ("ref-dangling", "tickets/002-b.md", "001-a.yaml#benchmarks/0") in got and not any("append-4k" in m for _, _, m in got)
+    assert ("ref-dangling", "tickets/002-b.md", "001-a.yaml#timings/0") in got and not any("large" in m for _, _, m in got)
     assert not any(c == "ref-target-not-allowed" and m == "../docs/d.md#part" for c, _, m in got)
 
 

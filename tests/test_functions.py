@@ -27,7 +27,7 @@ def column(spark, values, make, kind="string"):
     ("**/x.md", ["x.md", "a/x.md", "a/b/x.md"], ["ax.md"]),
     ("a/**/b", ["a/b", "a/x/b", "a/x/y/b"], ["a/xb"]),
     ("a+b(1).md", ["a+b(1).md"], ["aab1.md"]),
-    ("t*/0*-*.md", ["t/0-.md", "tickets/0171-x.md"], ["tickets/171-x.md"]),
+    ("t*/0*-*.md", ["t/0-.md", "tasks/0042-x.md"], ["tasks/42-x.md"]),
 ])
 def test_globs(spark, pattern, yes, no):
     g = paths.glob(pattern)
@@ -81,7 +81,7 @@ def test_folding_column_equals_python(spark, texts):
 
 
 @pytest.mark.parametrize(("title", "slug"), [
-    ("What is confirmed", "what-is-confirmed"), ("A link &  more", "a-link---more"), ("Größe", "größe"), ("  Trim me  ", "trim-me"), ("ΑΣ", "ασ"), ("e️́", "é"), ("a­b", "ab"), ("C++ & C#", "c--c"), ("x_y-z", "x_y-z"), ("日本 語", "日本-語"), ("!!!", ""), ("a\u0085", "a"), ("½ 5", "-5"),
+    ("Known so far", "known-so-far"), ("Bread &  butter", "bread---butter"), ("Maß Übung", "maß-übung"), ("  Trim me  ", "trim-me"), ("ΑΣ", "ασ"), ("e️́", "é"), ("a­b", "ab"), ("C++ & C#", "c--c"), ("x_y-z", "x_y-z"), ("日本 語", "日本-語"), ("!!!", ""), ("a\u0085", "a"), ("½ 5", "-5"),
 ])
 def test_slugs(title, slug):
     assert text.slug(title) == slug
