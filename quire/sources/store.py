@@ -127,8 +127,9 @@ class Store:
         return parse_files(self.files) if self._parsed is None else self._parsed
 
     def cached(self) -> Store:
-        """Keeps the parse in memory for this session."""
-        self.__dict__["parsed"] = self.parsed.persist()
+        """Keeps the parse in memory and on disk for this session; what an executor loses is parsed again."""
+        if not self.parsed.is_cached:
+            self.__dict__["parsed"] = self.parsed.persist()
         return self
 
     @cached_property
@@ -280,8 +281,13 @@ class Store:
         return checks.union_all(parts) if parts else self.all_files.sparkSession.createDataFrame([], "code string, path string, at string, message string")
 
     def check(self, changed: DataFrame | None = None) -> DataFrame:
-        """All issues with severities; with changed paths, those of the changed scope."""
+        """All issues with severities; with changed paths, those of the changed scope.
+
+        A check reads the parse a dozen times, so it is kept, unless it comes from an index.
+        """
         p = F.col("path")
+        if self._parsed is None:
+            self.cached()
         structural = exploded(self.parsed, "issues").select("code", "path", "at", "message")
         names = self.files.where(F.col("kind") == "record")
         parts = [
