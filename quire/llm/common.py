@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpointing import checkpointed  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -40,21 +41,15 @@ def spread(*keys: Column) -> Column:
     return F.xxhash64(*keys)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder, so that a lost executor loses none of it.
+def at_least_parallel(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer (one file with one row group, say).
 
-    The folder is the session's spark.checkpoint.dir. Only a local session without one gets a folder of its own.
+    Only a plan without a shuffle is asked: an adaptive one would have to run to know.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="quire-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def free_name(df: DataFrame, name: str) -> str:

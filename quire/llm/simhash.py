@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name
+from .common import at_least_parallel, checkpointed, free_name
 
 SEED = 42
 SHINGLE = 4
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     narrow = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
+    return at_least_parallel(narrow).mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
 
 
 class BKTree:
