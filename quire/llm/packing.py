@@ -120,7 +120,7 @@ def pack_evenly(classes: list[tuple[int, int, int]], shards: int) -> Runs:
         return alone
     plain = [(k, s, n) for k, s, n, _ in rest]
     low, high, best = -(-total // left), max(total, 1), None
-    step = max(1, low // 2000)
+    step = max(1, low // 40_000)  # what is left over adds up in the last bin
     reach = step
     while best is None:  # widen until it fits: usually at once, as small groups come last
         best, _ = best_fit(plain, low + reach, left)
