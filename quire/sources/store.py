@@ -24,6 +24,7 @@ from ..plans.scopes import ValueScope
 from ..schema.spine import declared_refs
 from ..schema.validate import compile_schema, validate_records
 
+#: Names that the store format fixes. Fixed values.
 CONFIG = ".vmd/config.yaml"
 ALIASES = ".vmd/aliases.jsonl"
 MEMBERS = {"vmd", "uniqueness", "yaml_quoting", "issues", "ignore", "collections"}
