@@ -11,7 +11,7 @@ from quire.llm.decontam import remove_contaminated
 from quire.llm.mixing import mix
 from quire.llm.packing import shard
 from quire.llm.quality import STRICT, filter_quality
-from quire.llm.simhash import drop_near_duplicates
+from quire.llm.similar import drop_similar
 
 SHARDS = 40
 SEED = 0
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, the one with the smallest doc_id."""
-    return drop_near_duplicates(docs)
+    """One document of each component of SimHash links and of texts with a five-word Jaccard of 0.8 or more, the one with the smallest doc_id."""
+    return drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

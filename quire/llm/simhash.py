@@ -221,7 +221,7 @@ def _hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _labelled(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+def labelled(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_key, fp), and (fp, root) of every distinct fingerprint."""
     rows = checkpointed(fingerprints(docs, shingle))
     fps = checkpointed(rows.select("fp").distinct())
@@ -231,7 +231,7 @@ def _labelled(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, Da
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (smallest doc_id reachable) of every row."""
-    rows, roots = _labelled(docs, shingle, radius)
+    rows, roots = labelled(docs, shingle, radius)
     smallest = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = smallest.join(roots, "fp")
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -241,7 +241,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of docs for each component: the one with the smallest doc_id (nulls last; ties by the text's hash)."""
-    rows, roots = _labelled(docs, shingle, radius)
+    return keep_one(docs, *labelled(docs, shingle, radius))
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The row of docs with the smallest doc_id for each root of (fp, root); rows has (doc_id, text_key, fp)."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))
     best = rows.groupBy("fp").agg(F.min(rank).alias("r"))
     kept = best.join(roots, "fp").groupBy("root").agg(F.min("r").alias("r")).select("r.doc_id", "r.text_key").distinct()
