@@ -1,9 +1,10 @@
 """PII (8): fixed patterns, and information-theoretic sanitisation of the words around them.
 
-The fixed patterns find protected entities (addresses and numbers). Words near an entity are counted over the whole
-corpus: a word reveals an entity if it stands near it in several different contexts, if most documents with the word
-have the entity near it, and if seeing the word tells many bits about the entity (pointwise mutual information). Such
-words are added as spans of kind `term`; sanitise() generalises or removes them.
+The fixed patterns find protected entities (addresses and numbers). Words of the documents that have an entity are
+counted over the whole corpus: a word reveals an entity if it is with it in several different contexts, if most
+documents with the word have the entity, and if seeing the word tells many bits about the entity (pointwise mutual
+information). Such words are added as spans of kind `term` wherever any document has them; sanitise() generalises or
+removes them.
 
 The main path is one scan of the texts for patterns and contexts, a count of candidate words over all documents (map
 side against a checked broadcast, or a shuffle join beyond), and joins of candidates only. Copies of one context
@@ -29,7 +30,7 @@ CARD = r"[0-9](?:[\x20-]?+[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
-#: Code points on either side of a span that are its context, and the words looked at there.
+#: Code points on either side of a span that are its context, by which copies are told.
 CONTEXT = 80
 WORD = r"\p{L}{3,}+"
 #: A word reveals an entity from so many different contexts, this share of its documents, and these bits on.
@@ -68,43 +69,35 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(found)
 
 
-def _context(text: Column, spans: Column) -> Column:
-    """For each span its entity and the words wholly inside its context: struct(entity, seen, words)."""
+def _lower_words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
-    def side(segment: Column, offset: Column, cut_left: Column, cut_right: Column) -> Column:
-        def inner(seg: Column) -> Column:
-            words = matches(seg, WORD, "term", 4)
-            whole = F.filter(words, lambda w: (~cut_left | (w["start"] > 0)) & (~cut_right | (w["end"] < F.length(seg))))
-            return F.transform(whole, lambda w: F.struct((w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"), F.lower(w["hit"]).alias("word")))
 
-        return let(segment, inner)
+def _context(text: Column, spans: Column) -> Column:
+    """For each span its entity and a hash of the text around it: struct(entity, seen)."""
 
     def of(s: Column) -> Column:
         low = F.greatest(s["start"] - CONTEXT, F.lit(0))
         before, after = F.substring(text, low + 1, s["start"] - low), F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        never = F.lit(False)
-        left = side(before, low, low > 0, never)
-        right = side(after, s["end"], never, s["end"] + CONTEXT < F.length(text))
-        return F.struct(F.xxhash64(s["kind"], F.lower(s["hit"])).alias("entity"), F.xxhash64(F.lower(before), F.lower(after)).alias("seen"), F.concat(left, right).alias("words"))
+        return F.struct(F.xxhash64(s["kind"], F.lower(s["hit"])).alias("entity"), F.xxhash64(F.lower(before), F.lower(after)).alias("seen"))
 
     return F.transform(spans, of)
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(entity, word, bits) of every word that reveals an entity, by counts over all documents."""
-    near = scanned.where(F.size("context") > 0).select("doc_id", "text_key", F.explode("context").alias("c"))
     doc_key = F.xxhash64("doc_id", "text_key")
-    pairs = near.select(doc_key.alias("doc"), "c.entity", "c.seen", F.explode(F.array_distinct(F.transform("c.words", lambda w: w["word"]))).alias("word"))
+    near = scanned.where(F.size("context") > 0).select(doc_key.alias("doc"), "words", F.explode("context").alias("c")).groupBy("doc", "c.entity").agg(F.min("c.seen").alias("seen"), F.first("words").alias("words"))
+    pairs = near.select("doc", "entity", "seen", F.explode("words").alias("word"))
     joint = pairs.groupBy("entity", "word").agg(F.count_distinct("seen").alias("contexts"), F.count_distinct("doc").alias("together")).where(F.col("contexts") >= LEAST_CONTEXTS)
-    # A word has at least the documents in which it is near any entity; by that bound alone most words, all the common
+    # A word has at least the documents in which it is with any entity; by that bound alone most words, all the common
     # ones, are out of reach of LEAST_SHARE before any document is read again.
     least = pairs.groupBy("word").agg(F.count_distinct("doc").alias("n_near"))
     joint = checkpointed(joint.join(least, "word").where(F.col("together") >= F.col("n_near") * LEAST_SHARE).drop("n_near"))
     vocabulary = joint.select("word").distinct()
-    small = vocabulary.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    spoken = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)), F.lower))).alias("word"))
-    with_word = spoken.join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").agg(F.count("*").alias("n_word"))
-    with_entity = near.groupBy("c.entity").agg(F.count_distinct(doc_key).alias("n_entity"))
+    with_word = _spoken(docs, vocabulary).groupBy("word").agg(F.count("*").alias("n_word"))
+    with_entity = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"))
     n_docs = scanned.count()
     share = F.col("together") / F.col("n_word")
     bits = F.log2(share / (F.col("n_entity") / F.lit(n_docs)))
@@ -114,21 +107,32 @@ def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     )
 
 
+def _spoken(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """doc_id, text_key and the columns of words for every row of docs and each of those words in its text."""
+    small = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    spoken = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(_lower_words(F.coalesce("text", F.lit("")))).alias("word"))
+    return spoken.join(F.broadcast(words) if small else words, "word")
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and spans (array of struct(start, rank, end, kind, hit, bits)) of every row."""
+    """doc_id, text_key and spans (array of struct(start, rank, end, kind, hit, bits)) of every row.
+
+    A word that reveals an entity is a term wherever it is written, with the entity or without it.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), let(base_spans(text), lambda s: F.struct(s.alias("base"), _context(text, s).alias("context"))).alias("f"))
-    scanned = checkpointed(found.select("doc_id", "text_key", "f.base", "f.context"))
-    told = disclosures(docs, scanned)
+    words = lambda s: F.when(F.size(s) > 0, _lower_words(text)).alias("words")
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), let(base_spans(text), lambda s: F.struct(s.alias("base"), _context(text, s).alias("context"), words(s))).alias("f"))
+    scanned = checkpointed(found.select("doc_id", "text_key", "f.base", "f.context", "f.words"))
+    told = checkpointed(disclosures(docs, scanned).groupBy("word").agg(F.max("bits").alias("bits")))
     key = ["doc_id", "text_key"]
-    places = (
-        scanned.where(F.size("context") > 0).select(*key, F.explode("context").alias("c")).select(*key, "c.entity", F.explode("c.words").alias("w"))
-        .select(*key, "entity", "w.start", "w.end", "w.word").join(told, ["entity", "word"])
-        .groupBy(*key, "start", "end", "word").agg(F.max("bits").alias("bits"))
-    )
-    term = F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), F.col("word").alias("hit"), "bits")
-    terms = places.groupBy(*key).agg(F.collect_list(term).alias("terms"))
-    joined = scanned.alias("s").join(terms.alias("t"), F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("s.text_key").eqNullSafe(F.col("t.text_key")), "left")
+    # Only texts that have such words are read for their places.
+    said = _spoken(docs, told).groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("word", "bits"))).alias("told"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("d")
+    same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & F.col(f"{x}.text_key").eqNullSafe(F.col(f"{y}.text_key"))
+    placed = keyed.join(said.alias("w"), same("d", "w")).select("d.doc_id", "d.text_key", "told", matches(F.col("d.text"), WORD, "term", 4, lambda hit, _: F.map_contains_key("told", F.lower(hit))).alias("terms"))
+    term = lambda t: F.struct(t["start"], t["rank"], t["end"], t["kind"], F.lower(t["hit"]).alias("hit"), F.element_at("told", F.lower(t["hit"])).alias("bits"))
+    terms = placed.select(*key, F.transform("terms", term).alias("terms")).dropDuplicates(key)
+    joined = scanned.alias("s").join(terms.alias("t"), same("s", "t"), "left")
     base = F.transform("s.base", lambda b: F.struct(b["start"], b["rank"], b["end"], b["kind"], b["hit"], F.lit(None).cast("double").alias("bits")))
     free = F.filter(F.coalesce("t.terms", F.array().cast(terms.schema["terms"].dataType)), lambda t: ~F.exists("s.base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return joined.select("s.doc_id", "s.text_key", F.array_sort(F.concat(base, free)).alias("spans"))

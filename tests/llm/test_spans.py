@@ -118,6 +118,14 @@ def test_words_that_reveal_an_entity_are_added(docs_of):
     assert all("term" not in got[i] for i in got if i >= 100)
 
 
+def test_terms_are_marked_wherever_they_are_written(docs_of):
+    far = "alpha beta gamma " * 30
+    rows = [*revealing(), (0, dict(revealing())[0] + f" {far}Zanzibar"), (600, f"{far}zanzibar {far} and Zanzibar again")]
+    got = [(x["doc_id"], x["spans"].count("term:")) for x in pii.report(docs_of(rows)).collect() if "term:" in x["spans"]]
+    assert sorted(got) == [(0, 1), (0, 2), *((i, 1) for i in range(1, 8)), (600, 2)]
+    assert all("zanzibar" not in x["text"].lower() for x in pii.sanitise(docs_of(rows)).collect())
+
+
 def test_sanitised_texts(docs_of):
     rows = [*revealing(), (900, None), (901, "call +1 (743) 555-3824 now, 10.0.0.1"), (901, "call +1 (743) 555-3824 now, 10.0.0.1")]
     docs = docs_of(rows)
