@@ -1,10 +1,11 @@
 """PII (8): fixed patterns, and information-theoretic sanitisation of the words around them.
 
 The fixed patterns find protected entities (addresses and numbers). Words of the documents that have an entity are
-counted over the whole corpus: a word reveals an entity if it is with it in several different contexts, if most
-documents with the word have the entity, and if seeing the word tells many bits about the entity (pointwise mutual
-information). Such words are added as spans of kind `term` wherever any document has them; sanitise() generalises or
-removes them.
+counted over the whole corpus, against each entity and its class: a word reveals one if most documents with the word
+have it, and if seeing the word tells many bits about it (pointwise mutual information), both from a share that is
+smoothed towards none by the number of different contexts. Two contexts are enough for a word that is in no other
+document; one never is, as each word of a page of its own would then reveal whatever is on it. Such words are added as
+spans of kind `term` wherever any document has them; sanitise() generalises or removes them.
 
 The main path is one scan of the texts for patterns and contexts, a count of candidate words over all documents (map
 side against a checked broadcast, or a shuffle join beyond), and joins of candidates only. Copies of one context
@@ -32,9 +33,10 @@ PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 #: Code points on either side of a span that are its context, by which copies are told.
 CONTEXT = 80
-WORD = r"\p{L}{3,}+"
-#: A word reveals an entity from so many different contexts, this share of its documents, and these bits on.
-LEAST_CONTEXTS = 3
+WORD = r"\p{L}++"
+#: A word reveals an entity or a class from this smoothed share of its documents and these bits on.
+#: Smoothing: contexts / (contexts + PRIOR) is the weight of what was counted, as if PRIOR more contexts were without it.
+PRIOR = 2
 LEAST_SHARE = 0.5
 LEAST_BITS = 4.0
 #: From so many bits on, sanitise() removes a word; below, it generalises it.
@@ -75,14 +77,27 @@ def _lower_words(text: Column) -> Column:
 
 
 def _context(text: Column, spans: Column) -> Column:
-    """For each span its entity and a hash of the text around it: struct(entity, seen)."""
+    """For each span its entity, then for each its class, and a hash of the text around it: struct(entity, seen).
+
+    Classes: an e-mail's domain, an address's first three numbers, a card's issuer (six digits), a phone number
+    without its last four digits.
+    """
+
+    def wider(s: Column) -> Column:
+        digits = _digits(s["hit"])
+        name = (
+            F.when(s["kind"] == "email", F.substring_index(F.lower(s["hit"]), "@", -1)).when(s["kind"] == "ip", F.substring_index(s["hit"], ".", 3))
+            .when(s["kind"] == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, F.lit(1), F.length(digits) - 4))
+        )
+        return F.xxhash64(F.lit("class"), s["kind"], name)
 
     def of(s: Column) -> Column:
         low = F.greatest(s["start"] - CONTEXT, F.lit(0))
         before, after = F.substring(text, low + 1, s["start"] - low), F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        return F.struct(F.xxhash64(s["kind"], F.lower(s["hit"])).alias("entity"), F.xxhash64(F.lower(before), F.lower(after)).alias("seen"))
+        seen = F.xxhash64(F.lower(before), F.lower(after)).alias("seen")
+        return F.array(F.struct(F.xxhash64(s["kind"], F.lower(s["hit"])).alias("entity"), seen), F.struct(wider(s).alias("entity"), seen))
 
-    return F.transform(spans, of)
+    return F.flatten(F.transform(spans, of))
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -90,16 +105,17 @@ def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     doc_key = F.xxhash64("doc_id", "text_key")
     near = scanned.where(F.size("context") > 0).select(doc_key.alias("doc"), "words", F.explode("context").alias("c")).groupBy("doc", "c.entity").agg(F.min("c.seen").alias("seen"), F.first("words").alias("words"))
     pairs = near.select("doc", "entity", "seen", F.explode("words").alias("word"))
-    joint = pairs.groupBy("entity", "word").agg(F.count_distinct("seen").alias("contexts"), F.count_distinct("doc").alias("together")).where(F.col("contexts") >= LEAST_CONTEXTS)
+    joint = pairs.groupBy("entity", "word").agg(F.count_distinct("seen").alias("contexts"), F.count_distinct("doc").alias("together"))
+    smoothed = lambda n: F.col("together") / F.col(n) * F.col("contexts") / (F.col("contexts") + PRIOR)
     # A word has at least the documents in which it is with any entity; by that bound alone most words, all the common
     # ones, are out of reach of LEAST_SHARE before any document is read again.
     least = pairs.groupBy("word").agg(F.count_distinct("doc").alias("n_near"))
-    joint = checkpointed(joint.join(least, "word").where(F.col("together") >= F.col("n_near") * LEAST_SHARE).drop("n_near"))
+    joint = checkpointed(joint.join(least, "word").where(smoothed("n_near") >= LEAST_SHARE).drop("n_near"))
     vocabulary = joint.select("word").distinct()
     with_word = _spoken(docs, vocabulary).groupBy("word").agg(F.count("*").alias("n_word"))
     with_entity = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"))
     n_docs = scanned.count()
-    share = F.col("together") / F.col("n_word")
+    share = smoothed("n_word")
     bits = F.log2(share / (F.col("n_entity") / F.lit(n_docs)))
     return (
         joint.join(with_word, "word").join(with_entity, "entity").where(share >= LEAST_SHARE)

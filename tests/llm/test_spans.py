@@ -126,6 +126,20 @@ def test_terms_are_marked_wherever_they_are_written(docs_of):
     assert all("zanzibar" not in x["text"].lower() for x in pii.sanitise(docs_of(rows)).collect())
 
 
+def test_two_contexts_short_words_and_classes(docs_of):
+    rows = revealing()
+    rows += [(700 + i, f"alpha {'beta ' * i}Qy 李明 Quagga sent it to qy@two.example.com") for i in range(2)]
+    rows += [(710 + i, f"gamma {i} ask Wombat at member{i}@class.example.com about {'delta ' * i}") for i in range(5)]
+    rows += [(720 + i, "one page with Numbat and only@once.example.com in it") for i in range(3)]
+    rows += [(730, "Wombat and Numbat")]
+    text, got = dict(rows), {x["doc_id"]: x["spans"].split(",") for x in pii.report(docs_of(rows)).collect()}
+    terms = lambda i: [text[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i] if s) if k == "term"]
+    assert {"Qy", "李明", "Quagga"} <= set(terms(700)) and {"Qy", "李明", "Quagga"} <= set(terms(701))
+    assert all("Wombat" in terms(710 + i) for i in range(5))
+    assert all(terms(720 + i) == [] for i in range(3))
+    assert terms(730) == ["Wombat"]
+
+
 def test_sanitised_texts(docs_of):
     rows = [*revealing(), (900, None), (901, "call +1 (743) 555-3824 now, 10.0.0.1"), (901, "call +1 (743) 555-3824 now, 10.0.0.1")]
     docs = docs_of(rows)
