@@ -8,8 +8,9 @@ document; one never is, as each word of a page of its own would then reveal what
 spans of kind `term` wherever any document has them; sanitise() generalises or removes them.
 
 The main path is one scan of the texts for patterns and contexts, a count of candidate words over all documents (map
-side against a checked broadcast, or a shuffle join beyond), and joins of candidates only. Copies of one context
-count once as evidence, so a page copied a thousand times reveals nothing by that.
+side against a checked broadcast, or a shuffle join beyond), and joins of candidates only. Counts are of
+distinct texts, and copies of one context count once as evidence, so a page copied a thousand times reveals nothing by
+that.
 
 Defined results: a null or empty text has no spans; repeated rows get equal results; offsets are code points, end
 exclusive; spans of one start are in the order of KINDS; an empty table gives an empty result.
@@ -102,23 +103,29 @@ def _context(text: Column, spans: Column) -> Column:
 
 def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(entity, word, bits) of every word that reveals an entity, by counts over all documents."""
-    doc_key = F.xxhash64("doc_id", "text_key")
-    near = scanned.where(F.size("context") > 0).select(doc_key.alias("doc"), "words", F.explode("context").alias("c")).groupBy("doc", "c.entity").agg(F.min("c.seen").alias("seen"), F.first("words").alias("words"))
-    pairs = near.select("doc", "entity", "seen", F.explode("words").alias("word"))
-    joint = pairs.groupBy("entity", "word").agg(F.count_distinct("seen").alias("contexts"), F.count_distinct("doc").alias("together"))
-    smoothed = lambda n: F.col("together") / F.col(n) * F.col("contexts") / (F.col("contexts") + PRIOR)
-    # A word has at least the documents in which it is with any entity; by that bound alone most words, all the common
-    # ones, are out of reach of LEAST_SHARE before any document is read again.
-    least = pairs.groupBy("word").agg(F.count_distinct("doc").alias("n_near"))
-    joint = checkpointed(joint.join(least, "word").where(smoothed("n_near") >= LEAST_SHARE).drop("n_near"))
+    weight = lambda n: F.col(n) / (F.col(n) + PRIOR)
+    smoothed = lambda n: F.col("together") / F.col(n) * weight("contexts")
+    n_docs = scanned.select("text_key").distinct().count()
+    # Copies count once, whatever their ids.
+    texts = checkpointed(scanned.where(F.size("context") > 0).groupBy("text_key").agg(F.first("context").alias("context"), F.first("words").alias("words")))
+    near = texts.select("text_key", F.explode("context").alias("c")).groupBy("text_key", "c.entity").agg(F.min("c.seen").alias("seen"))
+    # Bounds that follow from the two conditions, so that nothing that could meet them is left out: a pair has no more
+    # contexts than its entity or its word, its share is 1 at most, and its word has n_near documents or more.
+    entities = near.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("seen").alias("n_seen"))
+    entities = checkpointed(entities.where((weight("n_seen") >= LEAST_SHARE) & (F.log2(n_docs / F.col("n_entity")) >= LEAST_BITS)))
+    words = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n_near")).where(weight("n_near") >= LEAST_SHARE)
+    words = checkpointed(words.join(entities.agg(F.max("n_entity").alias("most")), F.col("n_near") * LEAST_SHARE <= F.col("most")).drop("most"))
+    small = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    placed = texts.select("text_key", F.explode("words").alias("word")).join(F.broadcast(words) if small else words, "word")
+    pairs = near.join(entities, "entity").join(placed, "text_key").where(F.col("n_near") * LEAST_SHARE <= F.col("n_entity") * weight("n_seen"))
+    joint = pairs.groupBy("entity", "word").agg(F.count_distinct("seen").alias("contexts"), F.count("*").alias("together"), F.max("n_near").alias("n_near"))
+    joint = checkpointed(joint.where(smoothed("n_near") >= LEAST_SHARE).drop("n_near"))
     vocabulary = joint.select("word").distinct()
-    with_word = _spoken(docs, vocabulary).groupBy("word").agg(F.count("*").alias("n_word"))
-    with_entity = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"))
-    n_docs = scanned.count()
+    with_word = _spoken(docs, vocabulary).groupBy("word").agg(F.count_distinct("text_key").alias("n_word"))
     share = smoothed("n_word")
     bits = F.log2(share / (F.col("n_entity") / F.lit(n_docs)))
     return (
-        joint.join(with_word, "word").join(with_entity, "entity").where(share >= LEAST_SHARE)
+        joint.join(with_word, "word").join(entities, "entity").where(share >= LEAST_SHARE)
         .select("entity", "word", bits.alias("bits")).where(F.col("bits") >= LEAST_BITS)
     )
 

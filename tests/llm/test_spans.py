@@ -140,6 +140,15 @@ def test_two_contexts_short_words_and_classes(docs_of):
     assert terms(730) == ["Wombat"]
 
 
+def test_repeated_rows_and_copies_change_no_result(docs_of):
+    rows = revealing()
+    once = {(x["doc_id"], x["spans"]) for x in pii.report(docs_of(rows)).collect()}
+    got = [(x["doc_id"], x["spans"]) for x in pii.report(docs_of(rows * 3)).collect()]
+    assert len(got) == 3 * len(rows) and set(got) == once and any("term" in x for _, x in once)
+    copies = [(1000 * k + i, t) for k in range(3) for i, t in rows]
+    assert {(d % 1000, x) for d, x in ((x["doc_id"], x["spans"]) for x in pii.report(docs_of(copies)).collect())} == once
+
+
 def test_sanitised_texts(docs_of):
     rows = [*revealing(), (900, None), (901, "call +1 (743) 555-3824 now, 10.0.0.1"), (901, "call +1 (743) 555-3824 now, 10.0.0.1")]
     docs = docs_of(rows)
