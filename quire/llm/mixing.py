@@ -9,6 +9,8 @@ range-partitioned sort.
 Defined results: a null source is a source of its own; a null text has no bytes; a source without bytes or with
 weight zero gets rate zero; rows with equal doc_id draw the same count, and each is repeated; a null doc_id draws
 as the text 'null'; an empty table gives an empty mixture. Rates above RATE_PART are drawn as sums of smaller ones.
+Columns may have any name: those that mix() adds get underscores where docs has such a name. A text is only measured
+and moved with its row, whatever its length.
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, default_weig
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, seed: int = 0, extras: bool = False) -> DataFrame:
-    """docs repeated to the target weights, in a global order by hash; with extras also copy and shuffle_key."""
+    """docs repeated to the target weights, in a global order by hash; with extras also copy and shuffle_key (copy_ and so on, if docs has those)."""
     columns = docs.columns
     per = rates(docs, weights, default_weight)
     names = {n: free_name(docs, f"mix_{n}") for n in ("source", "rate", "parts", "cdf", "n", "copy", "key")}
@@ -86,5 +88,5 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     copies = joined.where(F.col(names["n"]) > 0).withColumn(names["copy"], F.explode(F.sequence(F.lit(0), F.col(names["n"]) - 1)))
     keyed = copies.withColumn(names["key"], hash_number(F.lit("order"), F.lit(seed), F.col("doc_id"), F.col(names["copy"])))
     shuffled = keyed.orderBy(names["key"], "doc_id", names["copy"])
-    extra = [F.col(names["copy"]).alias("copy"), F.col(names["key"]).alias("shuffle_key")] if extras else []
+    extra = [F.col(names["copy"]).alias(free_name(docs, "copy")), F.col(names["key"]).alias(free_name(docs, "shuffle_key"))] if extras else []
     return shuffled.select(*(F.col(f"`{c}`") for c in columns), *extra)
