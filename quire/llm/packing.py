@@ -9,7 +9,9 @@ parts, so that no task ever holds a whole shard, class or group.
 
 Defined results: a null text has no bytes (size 16, crc32 0) and is grouped with empty texts; equal rows get
 slots of their own; a group larger than an even share gets a shard to itself and the others share the rest evenly;
-an empty table gives an empty result; columns of the input beyond doc_id and text are not read.
+an empty table gives an empty result; columns of the input beyond doc_id and text are not read, so any name may
+clash. With a fixed capacity a class counts by its largest group, so that no shard is overfilled: it holds more than
+its capacity only if that is one group. Ties between classes and groups are broken by size and hash of the text.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ OVERHEAD = 16
 LARGE = 4096
 #: Rows numbered by one task, on average.
 PART_ROWS = 50_000
+#: Runs of a plan up to which it is broadcast (32 bytes each); beyond, plan and groups meet in a shuffle by class.
+BROADCAST_RUNS = 1_000_000
 
 
 class CapacityTree:
@@ -160,8 +164,8 @@ def shard(docs: DataFrame, shards: int = 40, capacity: int | None = None) -> Dat
     groups = checkpointed(rows.groupBy(*same).agg(F.count("*").alias("copies"), F.sum("size").alias("bytes")))
     n_rows, total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     classed = groups.withColumn("class", _class_of(F.col("bytes"), max(1, total // LARGE)))
-    classes = classed.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).orderBy(F.desc("class")).collect()
-    sized = sorted(((r["class"], -(-r["bytes"] // r["n"]), r["n"]) for r in classes), key=lambda c: (-c[1], -c[0]))
+    classes = classed.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("most")).orderBy(F.desc("class")).collect()
+    sized = sorted(((r["class"], r["most"] if capacity else -(-r["bytes"] // r["n"]), r["n"]) for r in classes), key=lambda c: (-c[1], -c[0]))
     runs = best_fit(sized, capacity)[0] if capacity else pack_evenly(sized, shards)
     spark = docs.sparkSession
     plan = spark.createDataFrame([(k, a, b, s) for k, a, b, s in runs], "class long, low long, high long, shard int")
@@ -169,8 +173,8 @@ def shard(docs: DataFrame, shards: int = 40, capacity: int | None = None) -> Dat
     parts = max(1, -(-n_rows // PART_ROWS))
     salt = lambda *c: F.pmod(F.xxhash64(*c), F.lit(parts))
     ranked = _ranked(classed, "class", same, salt("text_key", F.lit(1)), "rank").alias("g")
-    # The plan has at most (classes x shards) runs, whatever the input.
+    # For a number of shards the plan has at most (classes x shards) runs, whatever the input.
     on = (F.col("g.class") == F.col("p.class")) & (F.col("g.rank") >= F.col("p.low")) & (F.col("g.rank") < F.col("p.high"))
-    placed = ranked.join(F.broadcast(plan.alias("p")), on).select("text_key", "text_crc32", "size", "shard")
+    placed = ranked.join((F.broadcast(plan) if len(runs) <= BROADCAST_RUNS else plan).alias("p"), on).select("text_key", "text_crc32", "size", "shard")
     sharded = checkpointed(rows.join(placed, same).select("doc_id", "size", "text_crc32", "text_key", "shard"))
     return _ranked(sharded, "shard", ["doc_id", "text_key", "text_crc32", "size"], salt("doc_id", "text_key", F.lit(2)), "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
