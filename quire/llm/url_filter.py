@@ -7,11 +7,14 @@ matched expressions are gathered by URL.
 
 Defined results: a null url or one without :// has an empty host and path; such pages, and those that no rule fits,
 get the default verdict; an empty rule table gives the default to all; repeated pages are judged alike, each its own
-row; of rules of equal length the one with the longer host wins, then block before allow.
+row; of rules of equal length the one with the longer host wins, then block before allow. Only page_id and url are
+read, so further columns may have any name; a very long url is cut only where rules end, and stands whole in the result.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,13 +60,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     if not shapes:
         return pages.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = F.split("host", r"\.", -1)
-    made = []
-    for labels_n, length in sorted((r["labels"], r["length"]) for r in shapes):
-        suffix = F.array_join(F.slice(labels, F.size(labels) - labels_n + 1, labels_n), ".")
-        fits = (F.size(labels) >= labels_n) & (F.length("path") >= length)
-        made.append(F.when(fits, F.concat(suffix, F.substring("path", 1, length))))
+    # One literal array and one lambda, however many shapes there are.
+    wanted = F.from_json(F.lit(json.dumps(sorted([r["labels"], r["length"]] for r in shapes))), "array<array<int>>")
+    fitting = F.filter(wanted, lambda w: (F.size(labels) >= w[0]) & (F.length("path") >= w[1]))
+    made = F.transform(fitting, lambda w: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -w[0]), F.substring("path", F.lit(1), w[1])))
     urls = pages.where("host <> ''").select("host", "path").distinct()
-    expressions = urls.select("host", "path", F.explode(F.array_compact(F.array(*made))).alias("expression")).withColumn("full", F.sha2("expression", 256))
+    expressions = urls.select("host", "path", F.explode(made).alias("expression")).withColumn("full", F.sha2("expression", 256))
     expressions = expressions.withColumn("short", F.substring("full", 1, PREFIX))
     small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     # The slash between host and path can't be moved: a rule's own host must end the URL's host.
