@@ -116,7 +116,7 @@ def ablation(rows: DataFrame, policies: tuple[Policy, ...] = (BASE, STRICT)) ->
     """What each rule adds to each policy: documents it fails, and those that it alone rejects.
 
     The ledger is first counted by its bits (at most 2^rules rows whatever the input), and only those counts are
-    compared with the masks.
+    compared with the masks. A rule that fails nothing, as in an empty ledger, has zeros.
     """
     counts = rows.groupBy("fail_bits").agg(F.count("*").alias("n"))
     spark = rows.sparkSession
@@ -124,7 +124,9 @@ def ablation(rows: DataFrame, policies: tuple[Policy, ...] = (BASE, STRICT)) ->
     hit = F.col("fail_bits").bitwiseAND(F.col("bit")) != 0
     alone = F.col("fail_bits").bitwiseAND(F.col("mask")) == F.col("bit")
     keyed = counts.select(F.explode(F.sequence(F.lit(0), F.lit(len(RULES) - 1))).alias("i"), "fail_bits", "n").withColumn("bit", F.expr("shiftleft(1L, i)"))
-    return keyed.join(F.broadcast(plan), "bit").groupBy("policy", "rule").agg(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("n_failed"), F.coalesce(F.sum(F.when(alone, F.col("n"))), F.lit(0)).alias("n_only"))
+    sums = keyed.join(F.broadcast(plan), "bit").groupBy("policy", "rule").agg(F.sum(F.when(hit, F.col("n"))).alias("n_failed"), F.sum(F.when(alone, F.col("n"))).alias("n_only"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return plan.select("policy", "rule").join(F.broadcast(sums), ["policy", "rule"], "left").select("policy", "rule", none("n_failed"), none("n_only"))
 
 
 def filter_quality(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
