@@ -6,39 +6,44 @@ mean over its words; the prediction is the best language and the score its share
 
 Training reads a bounded sample: at most about SAMPLE documents a language (drawn by a hash of doc_id at a rate set by
 the language's own count) out of the rows with crc32(doc_id as text) mod 5 other than 0 and a known language. Words and
-n-grams are counted in the cluster and the most frequent ones kept, so the model that is broadcast has at most
-(WORDS + NGRAMS) entries a language. Prediction reads whole texts, in Arrow batches, with a bounded cache of words.
+n-grams of the sample are counted in the cluster, and every one that it has LEAST times or more is known; the sample bounds the
+model that is broadcast. Prediction reads whole texts, in Arrow batches, with a bounded cache of words.
 
 Defined results: a null text or one without letters is `und` with score 0; null languages and null doc_ids aren't
 learned from, and a null doc_id isn't held out; without any labelled row all predictions are `und`; ties go to the
-smaller language name; repeated rows are predicted alike.
+smaller language name; repeated rows are predicted alike. Words are runs of letters (Unicode category L) of any length, in
+training and prediction alike; very long ones are scored like others and only kept out of the cache. Only doc_id, text
+and lang are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from unicodedata import category
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import at_least_parallel, checkpointed
 
 SAMPLE = 4_000
-WORDS = 30_000
-NGRAMS = 60_000
+#: Occurrences in the sample from which a word or n-gram is known; once is no evidence of a language.
+LEAST = 2
 LENGTHS = (5, 4, 3, 2, 1)
 FOLDS = 5
 #: Languages up to which their counts are broadcast; beyond, the sample is drawn by a shuffle join.
 BROADCAST_LANGUAGES = 10_000
 #: Words whose scores a Python worker keeps; it starts over beyond.
 CACHE = 300_000
-#: Longer words (runs of letters without a break) are scored by their n-grams and not kept.
+#: Longer words (runs of letters without a break) aren't kept in the cache.
 LONG = 64
-LETTERS = re.compile(r"[^\W\d_]+")
+#: What Python's \w has beside letters, \d and _: numbers of the categories No and Nl, all of them below U+20000.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if category(c) in ("No", "Nl"))
+LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 #: Weight of the prior count of a language for an entry that it lacks.
 SMOOTH = 0.5
 
@@ -66,17 +71,14 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> dict:
     padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
 
     def grams(n: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.concat(F.lit(str(n)), F.substring(padded, i, F.lit(n))))
-        return F.when(F.length(padded) >= n, made).otherwise(F.array().cast("array<string>"))
+        """All n-grams, in one pass: each match takes one character and captures n."""
+        return F.transform(F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)), lambda g: F.concat(F.lit(str(n)), g))
 
     pieces = F.concat(F.array(F.concat(F.lit("w"), F.col("word"))), *map(grams, LENGTHS))
-    short = counted.where(F.length("word") <= LONG)
-    entries = checkpointed(short.select("lang", "n", F.explode(pieces).alias("entry")).groupBy("lang", "entry").agg(F.sum("n").alias("n")))
-    kind = F.substring("entry", 1, 1)
-    is_word = (kind == "w").alias("is_word")
-    totals = entries.groupBy("lang", kind.alias("kind")).agg(F.sum("n").alias("total"))
-    by = Window.partitionBy("lang", "is_word").orderBy(F.desc("n"), "entry")
-    top = entries.select("lang", "entry", "n", is_word).withColumn("r", F.row_number().over(by)).where(F.col("r") <= F.when(F.col("is_word"), WORDS).otherwise(NGRAMS))
+    entries = checkpointed(counted.select("lang", "n", F.explode(pieces).alias("entry")).groupBy("lang", "entry").agg(F.sum("n").alias("n")))
+    totals = entries.groupBy("lang", F.substring("entry", 1, 1).alias("kind")).agg(F.sum("n").alias("total"))
+    common = entries.groupBy("entry").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).select("entry")
+    top = entries.join(common, "entry")
     total = {(r["lang"], r["kind"]): r["total"] for r in totals.collect()}
     languages = sorted({lang for lang, _ in total})
     at = {lang: i for i, lang in enumerate(languages)}
