@@ -3,17 +3,18 @@
 A window (eight consecutive item words, or a whole shorter item) can only occur in a document that has all its
 words, so one necessary token is enough to find it: the rarest one, by counts over all documents. Document words
 meet those tokens in a map-side join, the token's offset in the window bounds where the window can lie, and the
-words there are compared one by one. No pair of documents and items is made but where that token occurs.
+words there are compared one by one. No pair of documents and items is made but where that token occurs. Windows beyond a
+broadcast's bound meet the documents' words in a shuffle instead, and the places found return to their texts to be
+compared; the documents are read three times then, however many windows there are.
 
 Defined results: null text and texts without words have no words and no hits; an empty benchmark hits nothing;
 items without words have no windows; items with a null id hit words but aren't counted as items; equal items are
 counted by their ids. Repeated documents each get their row. Very long texts are split in the JVM, one row at a time.
+Further columns may have any name; remove_contaminated() returns them as they are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,9 @@ from .common import ascii_lower, checkpointed, free_name, words_of
 WINDOW = 8
 #: After lower-casing A-Z, all ASCII but digits and a-z separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows that are broadcast at once (about 100 bytes each); more windows make more blocks.
+#: Windows up to which they are broadcast (about 100 bytes each), and distinct words of windows (about 30).
 BROADCAST_WINDOWS = 500_000
+BROADCAST_WORDS = 1_000_000
 #: No word can hold this, so it stands for the document itself in the stream of its words.
 SELF = "\x00"
 
@@ -44,46 +46,57 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     )
 
 
-def _blocks(wins: DataFrame) -> int:
-    """Blocks of windows so that each is broadcast within its bound."""
-    return max(1, -(-wins.count() // BROADCAST_WINDOWS))
+def _tokens(stream: DataFrame, wins: DataFrame) -> DataFrame:
+    """token, offset, window and ids of every window: its rarest word over all documents, ties by the word itself."""
+    vocabulary = wins.select(F.explode("window").alias("word")).distinct()
+    small = vocabulary.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    spoken = stream.select(F.explode("words").alias("word"))
+    # Counted before the shuffle either way: with the vocabulary at hand, or all words and the vocabulary afterwards.
+    counts = (spoken.join(F.broadcast(vocabulary), "word") if small else spoken).groupBy("word").agg(F.count("*").alias("n_found"))
+    ranked = wins.select("window", "ids", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
+    rare = F.struct(F.coalesce("n_found", F.lit(0)).alias("n"), F.col("word"), F.col("offset"))
+    return checkpointed(ranked.groupBy("window").agg(F.first("ids").alias("ids"), F.min(rare).alias("t")).select(F.col("t.word").alias("token"), F.col("t.offset").alias("offset"), "window", "ids"))
+
+
+KEY = ("doc_id", "text_key", "text_bytes")
 
 
-def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """One row per distinct (doc_id, text): n_copies, n_words, spans (distinct start and length), items (sorted ids).
+def _met(stream: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Verified occurrences and the documents themselves, by a broadcast of the windows: one scan."""
+    itself = stream.sparkSession.range(1).select(F.lit(SELF), F.lit(0), F.array().cast("array<string>"), F.array().cast("array<string>"))
+    placed = stream.select(*KEY, F.size("words").alias("n_words"), "words", F.posexplode(F.concat("words", F.array(F.lit(SELF)))).alias("pos", "word"))
+    # Bounds first, then the words one by one; all of it inside the join, so that only verified hits leave it.
+    start, n = F.col("pos") - F.col("offset"), F.size("window")
+    same = F.slice("words", F.greatest(start + 1, F.lit(1)), n) == F.col("window")
+    on = (F.col("word") == F.col("token")) & ((F.col("token") == SELF) | ((start >= 0) & (start + n <= F.col("n_words")) & same))
+    span = F.when(n > 0, F.struct(start.alias("start"), n.alias("n")))
+    return placed.join(F.broadcast(tokens.union(itself)), on).select(*KEY, "n_words", (F.col("token") == SELF).alias("own"), span.alias("span"), F.when(n > 0, F.col("ids")).alias("ids"))
 
-    Windows are a stated query set: all documents meet them block by block, each block within its broadcast bound.
-    """
+
+def _met_by_shuffle(stream: DataFrame, tokens: DataFrame) -> DataFrame:
+    """As _met(): words and tokens meet in a shuffle, without the texts, and the places found go back to them."""
+    n = F.size("window")
+    spoken = stream.select(*KEY, F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word"))
+    start = F.col("pos") - F.col("offset")
+    near = (F.col("word") == F.col("token")) & (start >= 0) & (start + n <= F.col("n_words"))
+    places = spoken.join(tokens, near).select(*KEY, start.alias("start"), "window", "ids").distinct().alias("p")
+    texts = stream.dropDuplicates(["doc_id", "text_key", "text_bytes"]).alias("s")
+    same_text = F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("s.text_key").eqNullSafe(F.col("p.text_key")) & F.col("s.text_bytes").eqNullSafe(F.col("p.text_bytes"))
+    found = places.join(texts, same_text & (F.slice("s.words", F.col("p.start") + 1, n) == F.col("window")))
+    hit = found.select(*(F.col(f"p.{c}") for c in KEY), F.size("s.words").alias("n_words"), F.lit(False).alias("own"), F.struct("p.start", n.alias("n")).alias("span"), "ids")
+    none = F.lit(None)
+    return hit.union(stream.select(*KEY, F.size("words"), F.lit(True), none.cast("struct<start:int,n:int>"), none.cast("array<string>")))
+
+
+def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """One row per distinct (doc_id, text): n_copies, n_words, spans (distinct start and length), items (sorted ids)."""
     wins = checkpointed(windows(items, size).groupBy("window").agg(F.collect_set("item_id").alias("ids")))
-    blocks = _blocks(wins)
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     stream = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("text_bytes"), _words(F.col("text")).alias("words"))
-    vocabulary = wins.select(F.explode("window").alias("word")).distinct()
-    spoken = stream.select(F.explode("words").alias("word"))
-    counted = [spoken.join(F.broadcast(vocabulary.where(block("word") == i)), "word").groupBy("word").agg(F.count("*").alias("n_found")) for i in range(blocks)]
-    counts = reduce(DataFrame.union, counted)
-    # The necessary token of a window: its rarest word over all documents, ties by the word itself.
-    ranked = wins.select("window", "ids", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
-    rare = F.struct(F.coalesce("n_found", F.lit(0)).alias("n"), F.col("word"), F.col("offset"))
-    tokens = checkpointed(ranked.groupBy("window").agg(F.first("ids").alias("ids"), F.min(rare).alias("t")).select(F.col("t.word").alias("token"), F.col("t.offset").alias("offset"), "window", "ids"))
-    itself = docs.sparkSession.range(1).select(F.lit(SELF), F.lit(0), F.array().cast("array<string>"), F.array().cast("array<string>"))
-
-    def met(i: int) -> DataFrame:
-        side = tokens.where(block("token") == i)
-        own = F.array(F.lit(SELF)) if i == 0 else F.array().cast("array<string>")
-        placed = stream.select("doc_id", "text_key", "text_bytes", F.size("words").alias("n_words"), "words", F.posexplode(F.concat("words", own)).alias("pos", "word"))
-        # Bounds first, then the words one by one; all of it inside the join, so that only verified hits leave it.
-        start, n = F.col("pos") - F.col("offset"), F.size("window")
-        same = F.slice("words", F.greatest(start + 1, F.lit(1)), n) == F.col("window")
-        on = (F.col("word") == F.col("token")) & ((F.col("token") == SELF) | ((start >= 0) & (start + n <= F.col("n_words")) & same))
-        joined = placed.join(F.broadcast(side.union(itself) if i == 0 else side), on)
-        span = F.when(n > 0, F.struct(start.alias("start"), n.alias("n")))
-        return joined.select("doc_id", "text_key", "text_bytes", "n_words", (F.col("token") == SELF).alias("own"), span.alias("span"), F.when(n > 0, F.col("ids")).alias("ids"))
-
-    found = reduce(DataFrame.union, [met(i) for i in range(blocks)])
-    grouped = found.groupBy("doc_id", "text_key", "text_bytes").agg(
-        F.max("n_words").alias("n_words"), F.count_if("own").alias("n_copies"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("ids").alias("ids"))
-    return grouped.select("doc_id", "text_key", "text_bytes", "n_copies", "n_words", "spans", F.array_sort(F.array_distinct(F.flatten("ids"))).alias("items"))
+    tokens = _tokens(stream, wins)
+    small = wins.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    found = (_met if small else _met_by_shuffle)(stream, tokens)
+    grouped = found.groupBy(*KEY).agg(F.max("n_words").alias("n_words"), F.count_if("own").alias("n_copies"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("ids").alias("ids"))
+    return grouped.select(*KEY, "n_copies", "n_words", "spans", F.array_sort(F.array_distinct(F.flatten("ids"))).alias("items"))
 
 
 def _covered(spans: Column) -> Column:
