@@ -55,13 +55,15 @@ def test_equals_brute_force(spark, docs_of, docs, items):
     assert run(spark, docs_of, docs, items) == brute(docs, items)
 
 
-def test_random_texts_in_blocks(spark, docs_of, monkeypatch):
-    """Few distinct words, so that windows overlap and repeat; blocks of few windows give the same rows."""
+@pytest.mark.parametrize("words_held", [1, 100])
+def test_random_texts_beyond_the_broadcast(spark, docs_of, monkeypatch, words_held):
+    """Few distinct words, so that windows overlap and repeat; the shuffle gives the same rows."""
     r = random.Random(1)
     text = lambda n: " ".join(r.choices("ab", k=n))
     docs = [(i, text(r.randint(0, 60))) for i in range(60)]
     items = [(i, text(r.choice([1, 3, 8, 9, 12]))) for i in range(12)]
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 5)
+    monkeypatch.setattr(decontam, "BROADCAST_WORDS", words_held)
     assert run(spark, docs_of, docs, items) == brute(docs, items)
 
 
