@@ -34,6 +34,8 @@ CHUNK = 1 << 16
 #: Fingerprints that a shard should have at most on average, and before it is cut into parts.
 SHARD_MEAN = 256
 SHARD_PART = 2048
+#: Keys of kept rows up to which they are broadcast (about 60 bytes each); beyond, rows and keys meet in a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -248,8 +250,16 @@ def keep_one(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
     """The row of docs with the smallest doc_id for each root of (fp, root); rows has (doc_id, text_key, fp)."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))
     best = rows.groupBy("fp").agg(F.min(rank).alias("r"))
-    kept = best.join(roots, "fp").groupBy("root").agg(F.min("r").alias("r")).select("r.doc_id", "r.text_key").distinct()
+    kept = checkpointed(best.join(roots, "fp").groupBy("root").agg(F.min("r").alias("r")).select("r.doc_id", "r.text_key").distinct())
+    # Texts stay where they are read: keys go to them, by broadcast within a bound, and only repeated rows are shuffled.
+    small = kept.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    twice = checkpointed(rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").join(kept.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t"))).select("doc_id", "text_key"))
     key = free_name(docs, "text_key")
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & keyed[key].eqNullSafe(kept["text_key"])
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
+    same = lambda side: keyed["doc_id"].eqNullSafe(side["doc_id"]) & keyed[key].eqNullSafe(side["text_key"])
+    if twice.limit(1).count() == 0:
+        return keyed.join(F.broadcast(kept) if small else kept, same(kept), "left_semi").drop(key)
+    once = kept.join(twice.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")), "left_anti")
+    single = keyed.join(F.broadcast(once) if small else once, same(once), "left_semi")
+    repeated = keyed.join(F.broadcast(twice) if small else twice, same(twice), "left_semi").dropDuplicates(["doc_id", key])
+    return single.union(repeated).drop(key)

@@ -6,8 +6,12 @@ of their shingles in one total order, so texts meet by those alone, and each pai
 whole sets. The order puts shingles that are frequent in a sample of texts last. The sample, like what is broadcast of
 it, decides how many pairs meet and never which are found: any total order gives all of them.
 
-Only components matter, so texts that are connected already aren't compared: first the neighbours by size under each
-shingle are verified, which takes large groups of near copies in linear time, then every pair still apart.
+A pair can reach the similarity only if, at the first shingle that they share, both have enough shingles left in that
+order for the overlap that their sizes demand; a meeting whose positions leave too few is none.
+
+Only components matter, so texts that are connected already aren't compared. First each text is verified against the
+pivot of every shingle, the text that has it at the earliest position: a text of few shingles of its own, as the
+origin of near copies is. That takes large groups of near copies in linear time. Then every pair still apart is.
 
 Defined results: shingles are 64-bit hashes of words as SimHash splits them; a text of fewer than five words is one
 shingle, one without words has none and is similar to nothing by this rule.
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -32,8 +36,8 @@ LEAST = (4, 5)
 #: Texts sampled for frequent shingles, and frequent shingles that are broadcast (16 bytes each).
 SAMPLE = 20_000
 FREQUENT = 100_000
-#: Ids of texts to verify up to which they are broadcast; beyond, their texts are found by a shuffle join.
-BROADCAST_IDS = 1_000_000
+#: Pairs to verify, and copied texts, up to which they are broadcast (32 bytes each); beyond, texts are shuffled.
+BROADCAST_PAIRS = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,14 +77,17 @@ def _frequent(texts: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, n, id) of the prefix of every distinct text, of shingles that two texts or more have there."""
+    """(shingle, place, id) of the prefix of every distinct text, of shingles that two texts or more have there.
+
+    place is the shingle's position in its text's order (from 0) in the high 32 bits, the text's size in the low ones.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
     num, den = LEAST
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, counts), seen = sent.value, set()
         for batch in batches:
-            parts, ids, sizes, lengths = [], [], [], []
+            parts, places, ids, lengths = [], [], [], []
             for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if key in seen:
                     continue
@@ -94,14 +101,14 @@ def _postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
                     often = np.where(known[at] == s, counts[at], 0)
                 first = s[np.lexsort((s, often))][: len(s) - -(-num * len(s) // den) + 1]
                 parts.append(first)
+                places.append((np.arange(len(first), dtype=np.int64) << 32) + len(s))
                 ids.append(key)
-                sizes.append(len(s))
                 lengths.append(len(first))
-            out = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.repeat(np.array(sizes, dtype=np.int64), lengths)), pa.array(np.repeat(np.array(ids, dtype=np.int64), lengths))], names=["shingle", "n", "id"])
+            none = [np.empty(0, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts or none)), pa.array(np.concatenate(places or none)), pa.array(np.repeat(np.array(ids, dtype=np.int64), lengths))], names=["shingle", "place", "id"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by shingle, then n and id; a row leaves if a neighbour has its shingle and another id."""
+        """Rows come by shingle, then id; a row leaves if a neighbour has its shingle and another id."""
         last, last_out = None, True
         for batch in batches:
             s, n, i = (batch.column(k).to_numpy() for k in range(3))
@@ -122,63 +129,73 @@ def _postings(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
             else:
                 last_out = bool(keep[-1])
             last = s[-1:], n[-1:], i[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(n[keep]), pa.array(i[keep])], names=["shingle", "n", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(n[keep]), pa.array(i[keep])], names=["shingle", "place", "id"])
 
-    kind = "shingle long, n long, id long"
-    return at_least_parallel(texts).mapInArrow(prefixes, kind).repartition("shingle").sortWithinPartitions("shingle", "n", "id").mapInArrow(shared, kind)
+    kind = "shingle long, place long, id long"
+    return at_least_parallel(texts).mapInArrow(prefixes, kind).repartition("shingle").sortWithinPartitions("shingle", "id").mapInArrow(shared, kind)
 
 
-def _counted(met: DataFrame) -> DataFrame:
-    """Pairs (a, b, x, y) out of rows of the shingles that they share: m and n are their sizes, the smaller first.
+def _can_reach(one: str, other: str) -> Column:
+    """Whether two places leave enough shingles, this one included, for the overlap that the sizes demand.
 
-    A prefix leaves ceil(0.8 n) - 1 shingles of its set, so two sets share no more than that beside what their
-    prefixes share; pairs that can't reach the similarity by this count are left out.
+    A similar pair passes at the first shingle that it shares, as all that it shares is from there on.
     """
     num, den = LEAST
-    left = F.floor((F.col("n") * num + den - 1) / den) - 1
-    return met.groupBy("a", "b", "x", "y", "m", "n").agg(F.count("*").alias("c")).where((F.col("c") + left) * (num + den) >= (F.col("m") + F.col("n")) * num).select("a", "b", "x", "y")
+    size = lambda p: F.col(p).bitwiseAND(F.lit((1 << 32) - 1))
+    left = lambda p: size(p) - F.shiftright(p, 32)
+    enough = lambda p: left(p) * (num + den) >= (size(one) + size(other)) * num
+    return enough(one) & enough(other)
 
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) as the roots x and y of those pairs of ids whose whole sets reach the similarity."""
+    """(a, b) as the roots x and y of those pairs of ids whose whole sets reach the similarity.
+
+    texts has one row a text. The sets of all b go to their a, which a star has once for many; a broadcast of the
+    pairs, within its bound, makes that the only shuffle of sets.
+    """
     num, den = LEAST
     pairs = checkpointed(pairs)
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    sets = checkpointed(_sets(texts.join(F.broadcast(ids.withColumnRenamed("a", "id")) if small else ids.withColumnRenamed("a", "id"), "id", "left_semi")).dropDuplicates(["id"]))
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    small = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    near = F.broadcast if small else lambda df: df
+    wanted = lambda side: _sets(texts.join(near(pairs.select(F.col(side).alias("id")).distinct()), "id", "left_semi"))
+    left = wanted("a").select(F.col("id").alias("a"), F.col("set").alias("sa"))
+    right = wanted("b").withColumnsRenamed({"id": "b", "set": "sb"}).join(near(pairs), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     reached = both * (num + den) >= (F.size("sa") + F.size("sb")) * num
-    return pairs.join(left, "a").join(right, "b").where(reached).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return right.join(left, "a").where(reached).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def joined_roots(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
     """roots (fp, root) with the components joined that hold texts of at least the least similarity."""
-    num, den = LEAST
-    texts = docs.select(F.xxhash64("text").alias("id"), F.col("text").cast("binary").alias("text"))
+    every = docs.select("doc_id", F.xxhash64("text").alias("id"), F.col("text").cast("binary").alias("text"))
+    texts = every.select("id", "text")
+    # One row of each text is verified: that of its smallest doc_id, once.
+    first = checkpointed(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    copied = first.where("n > 1").select("text_key", "least")
+    held = F.broadcast(copied) if copied.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else copied
+    kept = every.join(held, F.col("id") == F.col("text_key"), "left").where(F.col("text_key").isNull() | F.col("doc_id").eqNullSafe(F.col("least"))).select("id", "text")
+    repeated = rows.groupBy("text_key", "doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    single = kept.dropDuplicates(["id"]) if repeated else kept
     met = checkpointed(_postings(texts, _frequent(texts, rows.count())))
     of_text = rows.join(roots, "fp").select(F.col("text_key").alias("id"), "root").distinct()
 
     def apart(postings: DataFrame, labels: DataFrame) -> DataFrame:
-        """Postings with their root, of shingles that more than one component has."""
+        """Postings with their root, of shingles that more than one component has, and the pivot of each."""
         placed = postings.join(labels, "id")
-        mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-        return checkpointed(placed.join(mixed, "shingle"))
+        of = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("place", "id", "root")).alias("p")).where("lo < hi")
+        return checkpointed(placed.join(of.select("shingle", "p"), "shingle"))
 
     now = apart(met, of_text)
-    near = F.col("n") * num <= F.col("m") * den  # m is the smaller size
-    before = "PARTITION BY shingle ORDER BY n, id"
-    chain = now.selectExpr("id AS b", "root AS y", "n", f"lag(id) OVER ({before}) AS a", f"lag(root) OVER ({before}) AS x", f"lag(n) OVER ({before}) AS m")
-    one = simhash.components(_verified(texts, _counted(chain.where(F.col("a").isNotNull() & (F.col("x") != F.col("y")) & near))))
+    star = now.select(F.col("p.id").alias("a"), F.col("p.root").alias("x"), F.col("p.place").alias("i"), F.col("id").alias("b"), F.col("root").alias("y"), F.col("place").alias("j"))
+    one = simhash.components(_verified(single, star.where((F.col("x") != F.col("y")) & _can_reach("i", "j")).select("a", "b", "x", "y").distinct()))
 
     def relabel(labels: DataFrame) -> DataFrame:
         return labels.join(one.withColumnRenamed("node", "old").withColumnRenamed("root", "new"), F.col("root") == F.col("old"), "left").withColumn("root", F.coalesce("new", "root")).drop("old", "new")
 
-    rest = apart(now.drop("root"), relabel(of_text))
-    a = rest.select("shingle", F.col("id").alias("a"), F.col("root").alias("x"), F.col("n").alias("m"))
-    b = rest.select("shingle", F.col("id").alias("b"), F.col("root").alias("y"), "n")
-    order = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
-    two = simhash.components(_verified(texts, _counted(a.join(b, "shingle").where((F.col("x") != F.col("y")) & order & near))))
+    rest = apart(now.drop("root", "p"), relabel(of_text))
+    a = rest.select("shingle", F.col("id").alias("a"), F.col("root").alias("x"), F.col("place").alias("i"))
+    b = rest.select("shingle", F.col("id").alias("b"), F.col("root").alias("y"), F.col("place").alias("j"))
+    two = simhash.components(_verified(single, a.join(b, "shingle").where((F.col("x") < F.col("y")) & _can_reach("i", "j")).select("a", "b", "x", "y").distinct()))
     out = relabel(roots)
     return out.join(two, out["root"] == two["node"], "left").select("fp", F.coalesce(two["root"], out["root"]).alias("root"))
 

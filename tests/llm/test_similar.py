@@ -46,9 +46,10 @@ def near_copies(n, seed):
 
 
 @pytest.mark.parametrize("rows", [near_copies(150, 1), near_copies(80, 2) + EDGES, EDGES, []])
-@pytest.mark.parametrize("frequent", [100_000, 3])
-def test_equals_brute_force(spark, docs_of, monkeypatch, rows, frequent):
+@pytest.mark.parametrize(("frequent", "pairs"), [(100_000, 1_000_000), (3, 2)])
+def test_equals_brute_force(spark, docs_of, monkeypatch, rows, frequent, pairs):
     monkeypatch.setattr(similar, "FREQUENT", frequent)
+    monkeypatch.setattr(similar, "BROADCAST_PAIRS", pairs)
     got = corpus_pipeline.near_duplicates(spark, docs_of(rows), "")
     assert sorted(str(x["doc_id"]) for x in got.collect()) == brute_kept(rows)
 
