@@ -8,8 +8,6 @@ from dataclasses import dataclass, field
 from .inline import fold_label, unescape
 
 MAX_CONTAINERS = 256
-ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 FENCE = re.compile(r"( {0,3})(`{3,}(?=[^`]*$)|~{3,})(.*)$")
 QUOTE = re.compile(r" {0,3}> ?")
@@ -88,7 +86,36 @@ def interrupts(text: str) -> bool:
     """Whether a line ends a paragraph (so that it can't continue one lazily)."""
     item = ITEM.match(text)
     starts_item = item and text[item.end() :].strip() and (not item[2][:-1].isdigit() or item[2][:-1] == "1")
-    return bool(ATX.match(text) or RULE.match(text) or FENCE.match(text) or QUOTE.match(text) or starts_item or any(s.match(text) for s, _ in HTML))
+    return bool(marked_heading(text) or RULE.match(text) or FENCE.match(text) or QUOTE.match(text) or starts_item or any(s.match(text) for s, _ in HTML))
+
+
+def _unindented(text: str) -> tuple[str, int] | None:
+    """A line without its indent, and the indent; None if it is that of code."""
+    bare = text.lstrip(" ")
+    indent = len(text) - len(bare)
+    return (bare, indent) if indent < 4 else None
+
+
+def marked_heading(text: str) -> tuple[int, int, str] | None:
+    """Level, start and content of a heading that number signs open (and may close)."""
+    bare, indent = _unindented(text) or ("", 0)
+    rest = bare.lstrip("#")
+    level = len(bare) - len(rest)
+    if level not in range(1, 7) or rest[:1] not in ("", " ", "\t"):
+        return None
+    content = rest.strip(" \t")
+    opened = content.rstrip("#")
+    if not opened or opened[-1] in " \t":
+        content = opened.rstrip(" \t")
+    start = indent + level + len(rest) - len(rest.lstrip(" \t"))
+    return level, start if content else len(text), content
+
+
+def underlines(text: str) -> bool:
+    """Whether a line makes a heading of the paragraph above: one run of = or of -."""
+    bare, _ = _unindented(text) or ("", 0)
+    marks = bare.rstrip(" \t")
+    return marks != "" and marks in ("=" * len(marks), "-" * len(marks))
 
 
 def read_blocks(lines: list[Line], depth: int = 0) -> list[Block]:
@@ -136,13 +163,13 @@ def read_blocks(lines: list[Line], depth: int = 0) -> list[Block]:
             out.append(Block("fence", lines[i : j + 1], info=m[3].strip(" \t"), closed=j < len(lines)))
             i = j + 1
             continue
-        m = ATX.match(text)
-        if m:
+        marked = marked_heading(text)
+        if marked:
             close()
-            out.append(Block("heading", [line], level=len(m[1])))
+            out.append(Block("heading", [line], level=marked[0]))
             i += 1
             continue
-        if paragraph and SETEXT.match(text):
+        if paragraph and underlines(text):
             held = _paragraph(paragraph)
             if held and held[-1].kind == "paragraph":
                 out.extend(held[:-1])
@@ -245,9 +272,8 @@ def inline_text(block: Block) -> tuple[str, list[tuple[int, int]]]:
     """A paragraph's or heading's text with lines joined by LF, and (offset there, offset in the source) per line."""
     lines = block.lines
     if block.kind == "heading" and block.info != "setext":
-        m = ATX.match(lines[0].text)
-        start = m.start(2) if m[2] else len(lines[0].text)
-        return m[2] or "", [(0, lines[0].at + start)]
+        _, start, content = marked_heading(lines[0].text)
+        return content, [(0, lines[0].at + start)]
     if block.kind == "heading":
         lines = lines[:-1]
     out, marks, at = [], [], 0
