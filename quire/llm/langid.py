@@ -41,9 +41,9 @@ BROADCAST_LANGUAGES = 10_000
 CACHE = 300_000
 #: Longer words (runs of letters without a break) aren't kept in the cache.
 LONG = 64
-#: What Python's \w has beside letters, \d and _: numbers of the categories No and Nl, all of them below U+20000.
-_NUMBERS = "".join(c for c in map(chr, range(0x80, 0x20000)) if category(c) in ("No", "Nl"))
-LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: What LETTERS takes beside letters: numbers of the categories No and Nl, all of them below U+20000.
+NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x20000)) if category(c) in ("No", "Nl")) + "]")
 #: Weight of the prior count of a language for an entry that it lacks.
 SMOOTH = 0.5
 
@@ -97,6 +97,11 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> dict:
     return {"languages": languages, "known": known, "table": table}
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters in a text, in lower case."""
+    return LETTERS.findall((text if text.isascii() else NUMBERS.sub(" ", text)).lower())
+
+
 class Scorer(dict):
     """Word -> row of its scores in a growing table. A text's unseen words are scored together and kept."""
 
@@ -135,7 +140,7 @@ class Scorer(dict):
 
     def mean(self, text: str) -> np.ndarray | None:
         """Mean score of the words; None without letters."""
-        words = LETTERS.findall(text.lower())
+        words = letters(text)
         if not words:
             return None
         if len(self) > CACHE:
