@@ -99,7 +99,10 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> dict:
 
 def letters(text: str) -> list[str]:
     """The runs of letters in a text, in lower case."""
-    return LETTERS.findall((text if text.isascii() else NUMBERS.sub(" ", text)).lower())
+    words = LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return [piece for word in words for piece in NUMBERS.split(word) if piece]
 
 
 class Scorer(dict):
