@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.text import repeats, slug
 from .record import candidates, read_record
-from .values import jcs
+from .values import jcs, pointer
 
 NODE = "struct<at:string,parent:string,step:string,kind:string,depth:int,key:string,title:string,body:string,str:string,num:double,flag:boolean,doc_order:bigint,start:bigint,end:bigint,version:string>"
 ANCHOR = "struct<name:string,kind:string,at:string,start:bigint,end:bigint,doc_order:bigint>"
@@ -77,3 +77,20 @@ def derived_anchors(titles: DataFrame) -> DataFrame:
 def value_of(text: str | None) -> object:
     """A record's value from its canonical JSON."""
     return None if text is None else json.loads(text)
+
+
+def values_at(rows: DataFrame) -> DataFrame:
+    """(path, at, value) with a node's canonical JSON in place of its record's; null where the record's value has no such place."""
+
+    def part(at: str, value: str | None) -> str | None:
+        try:
+            return None if value is None else jcs(pointer(json.loads(value), at))
+        except KeyError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown = [part(a, v) for a, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shown, pa.string())], names=["path", "at", "value"])
+
+    return rows.select("path", "at", "value").mapInArrow(run, "path string, at string, value string")

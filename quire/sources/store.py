@@ -18,7 +18,7 @@ from ..checkpointing import checkpointed
 from ..functions import paths, uri
 from ..functions.text import git_blob_id
 from ..operators import binding, checks, listing, references, resolve
-from ..parse.arrow import exploded, parse_files
+from ..parse.arrow import exploded, parse_files, values_at
 from ..plans.query import condition
 from ..plans.scopes import ValueScope
 from ..schema.spine import declared_refs
@@ -149,20 +149,21 @@ class Store:
                 out[name] = schema
         return out
 
+    def _owner(self) -> Column:
+        """The collection that alone claims a row's path, or null."""
+        claimed = paths.collections_of(F.col("path"), self.config.collections)
+        return F.when(F.size(claimed) == 1, F.element_at(claimed, 1))
+
     def _of(self, name: str) -> Column:
         """Whether a row's path is claimed by this collection alone."""
-        claimed = paths.collections_of(F.col("path"), self.config.collections)
-        return (F.size(claimed) == 1) & F.array_contains(claimed, name)
+        return F.coalesce(self._owner() == name, F.lit(False))
 
     @property
     def nodes(self) -> DataFrame:
         """Nodes of readable records; steps into declared keyed lists are keys."""
-        rows = exploded(self.parsed.where("readable"), "nodes")
-        for name, schema in self.schemas.items():
-            lists = binding.keyed_lists(schema)
-            if lists:
-                rows = binding.bind_keys(rows.where(self._of(name)), lists).unionByName(rows.where(~self._of(name)))
-        return rows
+        readable = self.parsed.where("readable")
+        keyed = {name: schema for name, schema in self.schemas.items() if "x-vmd-list" in str(schema)}
+        return exploded(binding.bound_nodes(readable.withColumn("owner", self._owner()), keyed) if keyed else readable, "nodes")
 
     @property
     def anchors(self) -> DataFrame:
@@ -233,13 +234,14 @@ class Store:
         return resolve.resolve(self.addresses(addresses), self.nodes, self.anchors, longest, singular)
 
     def get(self, address: str, form: str = "value") -> DataFrame:
-        """A node as its value, body or source bytes (singular address)."""
+        """A node as its value (canonical JSON), body or source bytes (singular address)."""
         found = self.resolve([address]).where("status = 'ok'").join(self.nodes, ["path", "at"])
         if form == "body":
             return found.select("path", "at", F.coalesce("body", F.lit("")).alias("body"))
         if form == "source":
             return found.join(self.all_files.select("path", "content"), "path").select("path", "at", F.decode(F.expr("substring(content, int(start) + 1, int(end - start))"), "UTF-8").alias("source"))
-        return found.select("path", "at", "kind", "title", "str", "num", "flag", "version")
+        shown = values_at(found.join(self.parsed.select("path", "value"), "path").select("path", "at", "value"))
+        return found.select("path", "at", "kind", "title", "str", "num", "flag", "version").join(shown, ["path", "at"])
 
     def outline(self, path: str, at: str = "", depth: int | None = None) -> DataFrame:
         """Sections below a node to a depth, in document order, with sizes and references into each."""

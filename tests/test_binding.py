@@ -47,3 +47,27 @@ def test_typed_references_and_warnings(store):
 def test_collection_keys(store):
     got = {(r["path"], r["key"]) for r in binding.collection_keys(store.records, store.config.collections).collect()}
     assert got == {("tickets/001-a.yaml", "1"), ("tickets/002-b.md", "2"), ("runs/r.json", "R7")}
+
+
+NESTED = "{type: object, properties: {plots: {type: array, items: {properties: {rows: {x-vmd-list: {type: map, keys: [crop]}}}}}, %s: {x-vmd-list: {type: map, keys: [id]}}}}"
+
+
+def test_keyed_lists_of_several_collections_and_depths(spark):
+    names = [f"c{i}" for i in range(8)]
+    config = "collections:\n" + "".join(f"  {n}:\n    match: ['{n}/*']\n    schema: {NESTED % n}\n" for n in names)
+    files = {f"{n}/a.json": '{"plots": [{"rows": [{"crop": "rye", "m": 1}, {"crop": "oat"}, {}]}], "%s": [{"id": "x", "v": 2}], "free": [{"id": "x"}]}' % n for n in names}
+    s = Store.of(spark, {".vmd/config.yaml": config} | files)
+    asked = [("plots/0/rows/rye/m", "/plots/0/rows/0/m", "ok"), ("plots/0/rows/oat", "/plots/0/rows/1", "ok"), ("plots/0/rows/2", None, "not-found"), ("free/0", "/free/0", "ok"), ("free/x", None, "not-found")]
+    for n in names[:2]:
+        want = [*asked, (f"{n}/x/v", f"/{n}/0/v", "ok"), (f"{n}/0", None, "not-found")]
+        got = {r["address_id"]: (r["at"], r["status"]) for r in s.resolve([f"{n}/a.json#{a}" for a, _, _ in want]).collect()}
+        assert got == {i: (at, status) for i, (_, at, status) in enumerate(want)}
+    plan = s.nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan and "Union" not in plan
+
+
+def test_values_of_nodes(spark):
+    s = Store.of(spark, {"a.json": '{"x": {"z": [1, 2.5, null], "y": "q"}, "n": true, "e": {}}'})
+    got = {a: s.get(f"a.json#{a}").select("value").first()["value"] for a in ("x", "x/z", "x/z/1", "x/z/2", "x/y", "n", "e")}
+    assert got == {"x": '{"y":"q","z":[1,2.5,null]}', "x/z": "[1,2.5,null]", "x/z/1": "2.5", "x/z/2": "null", "x/y": '"q"', "n": "true", "e": "{}"}
+    assert s.get("a.json").first()["value"] == '{"e":{},"n":true,"x":{"y":"q","z":[1,2.5,null]}}' and s.get("a.json#no").count() == 0
