@@ -6,7 +6,7 @@ outside the store). All joins are equi-joins; containment is an exploded set of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpointing import checkpointed
@@ -14,7 +14,6 @@ from ..functions import paths
 from . import resolve
 
 
-
 def alias_chains(aliases: DataFrame, live: DataFrame) -> DataFrame:
     """(source, target) for every alias source whose chain reaches a live path; cycles and dead ends have no row.
 
@@ -33,6 +32,36 @@ def alias_chains(aliases: DataFrame, live: DataFrame) -> DataFrame:
     return now.where("done").select("source", "target")
 
 
+def anchor_renames(aliases: DataFrame, chains: DataFrame) -> DataFrame:
+    """(path, source, target, line) of anchor aliases (record, source, target, line): those under a record's old paths, whose
+    chains (source, target) lead to it, are its own. The last line of an old name wins."""
+    led = chains.select(F.col("source").alias("record"), F.col("target").alias("now"))
+    own = aliases.join(led, "record", "left").withColumn("path", F.coalesce("now", "record"))
+    return own.groupBy("path", "source").agg(F.max_by("target", "line").alias("target"), F.max("line").alias("line"))
+
+
+def _name_in(record: Column, name: Column) -> Column:
+    """A name of a record as one string; no path has a null character."""
+    return F.concat(record, F.lit("\0"), name)
+
+
+def renamed_steps(refs: DataFrame, renames: DataFrame, names: DataFrame) -> DataFrame:
+    """refs (of record_status()) whose first step reaches nothing, with the live name in its place that the record's anchor
+    aliases lead to, and then as aliased. Remaining steps are kept; an alias that leads nowhere leaves a reference as it is.
+
+    names has (path, name): what first steps reach. Chains are doubled over (record, name), as those of records are over paths.
+    """
+    key = _name_in(F.col("path"), F.col("name"))
+    held = names.join(renames.select("path").distinct(), "path", "left_semi").select(key.alias("path")).distinct()
+    moves = renames.select(_name_in(F.col("path"), F.col("source")).alias("source"), _name_in(F.col("path"), F.col("target")).alias("target"), "line")
+    chains = alias_chains(moves, held).select(F.col("source").alias("old"), F.substring_index("target", "\0", -1).alias("live_name"))
+    asked = F.when(F.col("status").isin("ok", "aliased") & (F.col("fragment_kind") == "semantic"), _name_in(F.col("record"), F.element_at("steps", 1)))
+    joined = refs.withColumn("old", asked).join(chains, "old", "left")
+    moved = F.col("live_name").isNotNull()
+    steps = F.when(moved, F.concat(F.array("live_name"), F.slice("steps", 2, F.greatest(F.size("steps") - 1, F.lit(0))))).otherwise(F.col("steps"))
+    return joined.withColumns({"steps": steps, "status": F.when(moved, "aliased").otherwise(F.col("status"))}).drop("old", "live_name")
+
+
 def directories(files: DataFrame) -> DataFrame:
     """Every folder that holds a file, at any depth."""
     return files.select(F.explode(F.slice(paths.prefixes(F.col("path")), 1, F.size(F.split("path", "/")) - 1)).alias("path")).distinct()
@@ -98,6 +127,11 @@ def shadowed(aliases: DataFrame, files: DataFrame) -> DataFrame:
     return aliases.join(files.select(F.col("path").alias("source")), "source", "left_semi")
 
 
+def shadowed_names(renames: DataFrame, names: DataFrame) -> DataFrame:
+    """(path, at, name) of every node that a first step reaches by the old name of one of its record's anchor aliases."""
+    return names.join(renames.select("path", F.col("source").alias("name")), ["path", "name"]).select("path", "at", "name").distinct()
+
+
 def changed_scope(changed: DataFrame, refs: DataFrame) -> DataFrame:
     """Paths to check after a change: the changed ones, and records that cite one or a folder above one."""
     named = changed.select(F.explode(paths.prefixes(F.col("path"))).alias("target")).distinct()

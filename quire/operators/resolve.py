@@ -37,6 +37,12 @@ def first_step(addresses: DataFrame, nodes: DataFrame, anchors: DataFrame) -> Da
     return both.groupBy("address_id", "path", "steps", "at").agg(F.array_sort(F.collect_set("way")).alias("ways"))
 
 
+def first_names(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(path, name, at): every name that a first step reaches in a record, and where."""
+    keys = nodes.where("parent = '' and step is not null").select("path", F.col("step").alias("name"), "at")
+    return keys.unionByName(anchors.select("path", "name", "at")).distinct()
+
+
 def semantic(addresses: DataFrame, nodes: DataFrame, anchors: DataFrame, longest: int, singular: bool = True) -> DataFrame:
     """(address_id, path, at, status, step): the nodes reached, with status ok or ambiguous and the step reached.
 

@@ -174,14 +174,27 @@ class Store:
         return exploded(self.parsed.where("readable"), "tags")
 
     @cached_property
-    def aliases(self) -> DataFrame:
-        """Record aliases (source, target, line) from the alias file."""
-        spark = self.all_files.sparkSession
+    def alias_lines(self) -> DataFrame | None:
+        """Entries of the alias file (kind, record, source, target, line); None for a store without one."""
+        if self._text(ALIASES) is None:
+            return None
         schema = "kind string, `from` string, `to` string, record string"
         lines = listing.file_lines(self.all_files.where(F.col("path") == ALIASES).select("path", F.decode("content", "UTF-8").alias("text")))
         read = lines.select("line", F.from_json("text", schema).alias("a")).select("line", "a.*")
-        assert spark
-        return read.where("kind = 'record'").select(F.col("from").alias("source"), F.col("to").alias("target"), "line")
+        return read.select("kind", "record", F.col("from").alias("source"), F.col("to").alias("target"), "line")
+
+    @cached_property
+    def aliases(self) -> DataFrame | None:
+        """Record aliases (source, target, line) from the alias file."""
+        return None if self.alias_lines is None else self.alias_lines.where("kind = 'record'").select("source", "target", "line")
+
+    @cached_property
+    def renames(self) -> DataFrame | None:
+        """Anchor aliases of live records (path, source, target, line), those under a record's old paths included."""
+        if self.alias_lines is None:
+            return None
+        own = self.alias_lines.where("kind = 'anchor'").select("record", "source", "target", "line")
+        return references.anchor_renames(own, references.alias_chains(self.aliases, self.files))
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -207,8 +220,9 @@ class Store:
     def resolved_refs(self) -> DataFrame:
         """refs with status, record and target_at (one row per target)."""
         everything = self.files.select("path").union(references.directories(self.files))
-        aliases = self.aliases if self._text(ALIASES) is not None else None
-        settled = checkpointed(references.record_status(self.refs, everything, aliases))
+        settled = checkpointed(references.record_status(self.refs, everything, self.aliases))
+        if self.renames is not None:
+            settled = checkpointed(references.renamed_steps(settled, self.renames, resolve.first_names(self.nodes, self.anchors)))
         longest = settled.agg(F.max(F.size("steps"))).first()[0] or 1
         told = references.node_status(settled, self.nodes, self.anchors, max(1, longest)).select("ref_id", F.col("status").alias("node_status"), F.col("at").alias("target_at"))
         assets = settled.join(told, "ref_id", "left")
@@ -324,6 +338,11 @@ class Store:
         r = resolved.where("status not in ('ok', 'outside')").select("ref_id", "path", "at", "raw", "status").distinct()
         code = F.when(F.col("status") == "unreadable", "ref-target-unreadable").otherwise(F.concat(F.lit("ref-"), "status"))
         parts = [r.select(code.alias("code"), "path", "at", F.col("raw").alias("message")), binding.fragile_issues(resolved, self.anchors, self.nodes)]
+        if self.aliases is not None:
+            moved = references.shadowed(self.aliases, self.files.where("kind = 'record'")).select("source").distinct()
+            parts.append(checks.issues_of(moved.withColumnRenamed("source", "path"), "alias-shadowed", message=F.col("path")))
+            reached = references.shadowed_names(self.renames, resolve.first_names(self.nodes, self.anchors))
+            parts.append(checks.issues_of(reached, "alias-shadowed", F.col("at"), F.col("name")))
         for name, schema in self.schemas.items():
             for path, ref in declared_refs(schema):
                 if ref.get("targets"):

@@ -224,3 +224,20 @@ def test_lenient_store_and_listing(spark):
     assert [r["path"] for r in listing.list_page(files, 2).collect()] == ["a.md", "b/C.md"] and listing.remaining(files, "b/C.md").first()["remaining"] == 1
     with pytest.raises(ValueError, match="limit"):
         listing.list_page(files, 0)
+
+
+def test_anchor_aliases(spark):
+    line = lambda **k: "{" + ",".join(f'"{a}":"{b}"' for a, b in k.items()) + "}\n"
+    aliases = [
+        line(kind="record", **{"from": "gone.md", "to": "here.md"}), line(kind="record", **{"from": "live.md", "to": "here.md"}),
+        line(kind="anchor", record="gone.md", **{"from": "one", "to": "two"}), line(kind="anchor", record="here.md", **{"from": "two", "to": "wrong"}), line(kind="anchor", record="here.md", **{"from": "two", "to": "pond"}),
+        line(kind="anchor", record="here.md", **{"from": "spin", "to": "spun"}), line(kind="anchor", record="here.md", **{"from": "spun", "to": "spin"}),
+        line(kind="anchor", record="here.md", **{"from": "pond", "to": "lake"}), line(kind="anchor", record="live.md", **{"from": "lost", "to": "kept"}),
+    ]
+    asked = {"here.md#one": ("aliased", "/$sections/0"), "gone.md#one/deep": ("aliased", "/$sections/0/$sections/0"), "here.md#pond": ("ok", "/$sections/0"), "here.md#spin": ("dangling", None), "here.md#one/not": ("dangling", None), "here.md#lost": ("dangling", None), "live.md#lost": ("dangling", None)}
+    s = Store.of(spark, {
+        ".vmd/aliases.jsonl": "".join(aliases), "here.md": '# H\n\n## Pond <a id="pond"></a>\n\n### Deep\n\nx\n', "live.md": "# L\n", "cites.md": "# C\n\n" + " ".join(f"[r]({a})" for a in asked) + "\n",
+    })
+    assert {r["raw"]: (r["status"], r["target_at"]) for r in s.resolved_refs().collect()} == asked
+    told = {(r["path"], r["at"], r["message"]) for r in s.check().where("code = 'alias-shadowed'").collect()}
+    assert told == {("live.md", "", "live.md"), ("here.md", "/$sections/0", "pond")}
