@@ -50,11 +50,12 @@ def ref_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.target_issues(refs, files, ["nation/*"], set()).select("path", "code")
 
 
-@query("SELECT user_id AS path, arg_max(value, event_id) AS value FROM events WHERE event_id <= 500 GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'click'")
+@query("SELECT user_id AS path, arg_max(value, event_id) AS value FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'click'")
 def at_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of a store at a past version: each path's last entry up to it, without removed ones."""
+    """The state of a store at half its versions: each path's last entry up to then, without removed ones."""
     history = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("revision"), "value", (F.col("event_type") == "click").alias("removed"))
-    return snapshot.at_revision(history, 500)
+    head = snapshot.head(history.select("revision")).first()["head"] or 0
+    return snapshot.at_revision(history, head // 2)
 
 
 @query("SELECT max(event_id) AS head FROM events")

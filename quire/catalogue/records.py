@@ -306,7 +306,7 @@ def incremental_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.incremental import unseen
 
     docs = table(spark, sf_dir, "documents")
-    files = document_files(docs.withColumn("text", F.concat_ws(":", F.col("doc_id").cast("string"), F.substring("text", 1, 10)))).withColumn("version", text.git_blob_id(F.col("content")))
+    files = document_files(docs.withColumn("text", F.concat_ws(":", F.col("doc_id").cast("string"), "text"))).withColumn("version", text.git_blob_id(F.col("content")))
     known = files.where(F.regexp_extract("path", r"([0-9]+)\.md$", 1).try_cast("long") % 10 != 0).select("version")
     return unseen(files, known).select("path")
 

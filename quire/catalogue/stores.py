@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks
 from ..parse.arrow import exploded
-from ..sources.store import Config, Store
+from ..sources.store import ALIASES, Config, Store
 from ..sources.tables import record_path, table
 from .registry import query
 
@@ -77,8 +77,67 @@ def store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.summary(s.records, s.check())
 
 
-@query()
+@query("""SELECT 'notes/' || doc_id || '.md' AS path, unnest([lang, source]) AS tag FROM documents""")
 def store_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of records written with them: a class on each title heading."""
     docs = table(spark, sf_dir, "documents").select(record_path("notes", F.col("doc_id"), "md").alias("path"), F.concat(F.lit('# Note<a class="'), "lang", F.lit(" "), "source", F.lit('"></a>\n')).alias("t"))
     return exploded(Store(docs.select("path", F.encode("t", "UTF-8").alias("content"), F.length("t").cast("long").alias("size")), Config()).parsed, "tags").select("path", "tag")
+
+
+def linked_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A record for each conversation that 5 doesn't divide, with links to the next one in every state that a link can have.
+
+    Some missing records have moved to the next number, some have not. Anchor aliases are recorded under live and under
+    old paths, some files can't be read, and some aliases name what is live again.
+    """
+    c = F.col("conv_id")
+    every = table(spark, sf_dir, "conversations").select(c.cast("long").alias("conv_id")).distinct()
+    live = every.where(c % 5 != 0)
+    to = (c + 1).cast("string")
+    links = F.concat(*(F.concat(F.lit(" [x]("), to, F.lit(f".md{part})")) for part in ("", "#t0", "#same", "#old", "#older", "#none")), F.lit(" [j]("), c.cast("string"), F.lit(".json#a) [o](https://e.org/)\n"))
+    text = F.concat(F.lit("# Talk "), c.cast("string"), F.lit("\n\n"), links, F.lit('\n## First <a id="t0"></a>\n\na\n\n## Same\n\nb\n\n## Same\n\nc\n'))
+    path = lambda n: F.concat(F.lit("talks/"), n.cast("string"), F.lit(".md"))
+    records = live.select(path(c).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    unreadable = live.where(c % 5 == 2).select(F.concat(F.lit("talks/"), c.cast("string"), F.lit(".json")).alias("path"), F.encode(F.lit('{"a": 1, "a": 2}'), "UTF-8").alias("content"))
+    entry = lambda **k: F.to_json(F.struct(*((v if not isinstance(v, str) else F.lit(v)).alias(n) for n, v in k.items())))
+    lines = [
+        F.when((c % 10 == 0) | (c % 5 == 3), entry(kind="record", **{"from": path(c), "to": path(c + 1)})), F.when((c % 5 != 0) & (c % 2 == 0), entry(kind="anchor", record=path(c), **{"from": "old", "to": "t0"})),
+        F.when(c % 10 == 0, entry(kind="anchor", record=path(c), **{"from": "older", "to": "t0"})), F.when(c % 5 == 4, entry(kind="anchor", record=path(c), **{"from": "t0", "to": "same"})),
+    ]
+    # The format holds all aliases in one file, so they are one row.
+    listed = every.select(F.explode(F.array_compact(F.array(*lines))).alias("line")).agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text"))
+    aliases = listed.select(F.lit(ALIASES).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return Store(records.unionByName(unreadable).unionByName(aliases).withColumn("size", F.octet_length("content").cast("long")), Config())
+
+
+#: Each link of linked_store() with its state: t is the record that it names, d the one that it reaches.
+LINKED = """WITH every AS (SELECT DISTINCT conv_id AS c FROM conversations), live AS (SELECT c FROM every WHERE c % 5 <> 0),
+reach AS (SELECT l.c, l.c + 1 AS t, CASE WHEN n.c IS NOT NULL THEN n.c WHEN m.c IS NOT NULL AND o.c IS NOT NULL THEN m.c END AS d
+  FROM live l LEFT JOIN live n ON n.c = l.c + 1 LEFT JOIN live m ON m.c = l.c + 2 AND (l.c + 1) % 10 = 0 LEFT JOIN every o ON o.c = l.c + 1),
+base AS (SELECT *, CASE WHEN d IS NULL THEN 'dangling' WHEN d = t THEN 'ok' ELSE 'aliased' END AS s FROM reach),
+links AS (SELECT c, t || '.md' AS raw, s AS status, d, '' AS hit FROM base
+  UNION ALL SELECT c, t || '.md#t0', s, d, '/$sections/0' FROM base
+  UNION ALL SELECT c, t || '.md#same', CASE WHEN d IS NULL THEN 'dangling' ELSE 'ambiguous' END, d, NULL FROM base
+  UNION ALL SELECT c, t || '.md#old', CASE WHEN d % 2 = 0 THEN 'aliased' ELSE 'dangling' END, d, '/$sections/0' FROM base
+  UNION ALL SELECT c, t || '.md#older', CASE WHEN d <> t THEN 'aliased' ELSE 'dangling' END, d, '/$sections/0' FROM base
+  UNION ALL SELECT c, t || '.md#none', 'dangling', d, NULL FROM base
+  UNION ALL SELECT c, c || '.json#a', CASE WHEN c % 5 = 2 THEN 'unreadable' ELSE 'dangling' END, NULL, NULL FROM base
+  UNION ALL SELECT c, 'https://e.org/', 'outside', NULL, NULL FROM base)
+"""
+
+
+@query(LINKED + "SELECT 'talks/' || c || '.md' AS path, raw, status, CASE WHEN status IN ('ok', 'aliased') THEN 'talks/' || d || '.md' END AS record, CASE WHEN status IN ('ok', 'aliased') THEN hit END AS target_at FROM links")
+def store_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of a store of parsed records: ok, aliased by record and by anchor, ambiguous, dangling, unreadable, outside."""
+    held = F.col("status").isin("ok", "aliased")
+    return linked_store(spark, sf_dir).resolved_refs().select("path", "raw", "status", F.when(held, F.col("record")).alias("record"), F.when(held, F.col("target_at")).alias("target_at")).distinct()
+
+
+@query(LINKED + """SELECT path, code, count(*) AS n FROM (
+SELECT 'talks/' || c || '.md' AS path, CASE WHEN status = 'unreadable' THEN 'ref-target-unreadable' ELSE 'ref-' || status END AS code FROM links WHERE status NOT IN ('ok', 'outside')
+UNION ALL SELECT 'talks/' || c || '.md', 'duplicate-key' FROM live
+UNION ALL SELECT 'talks/' || c || '.json', 'duplicate-member' FROM live WHERE c % 5 = 2
+UNION ALL SELECT 'talks/' || c || '.md', 'alias-shadowed' FROM live WHERE c % 5 IN (3, 4)) GROUP BY ALL""")
+def store_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole-store check of the same store, with aliases that name what is live again."""
+    return linked_store(spark, sf_dir).check().groupBy("path", "code").agg(F.count("*").alias("n"))
