@@ -47,7 +47,7 @@ def ref_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References that point outside their declared targets: here, only nations are allowed."""
     refs = resolved_keys(spark, sf_dir)
     files = refs.select(F.col("record").alias("path"), F.array(F.lit("any")).alias("collections")).distinct()
-    return binding.target_issues(refs, files, ["nation/*"], set()).select("path", "code")
+    return binding.target_issues(refs.withColumn("targets", F.array(F.lit("nation/*"))), files, {("nation/*",)}, set()).select("path", "code")
 
 
 @query("SELECT user_id AS path, arg_max(value, event_id) AS value FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'click'")

@@ -44,38 +44,59 @@ def list_items(nodes: DataFrame, at: str, key: str) -> DataFrame:
     return items.join(keys, ["path", "at"], "left")
 
 
-def extract_typed(records: DataFrame, schema: object) -> DataFrame:
-    """Typed references of records (path, value): path, at, raw, many, targets, explicit. One pass in Arrow batches."""
-    text = json.dumps(schema)
+def extract_typed(records: DataFrame, schemas: dict[str, object]) -> DataFrame:
+    """Typed references of records (path, owner, value): path, at, raw, many, targets (null if any are allowed), explicit.
+
+    They are found along each record's value, at any depth, in one pass in Arrow batches for all collections.
+    """
+    texts = {name: json.dumps(schema) for name, schema in schemas.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root = json.loads(text)
+        roots = {name: json.loads(text) for name, text in texts.items()}
         for batch in batches:
             rows = []
-            for path, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(path, r["at"], r["raw"], r["many"], r["targets"], r["anchors"] == "explicit") for r in typed_refs(root, json.loads(value))]
+            for path, owner, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if owner in roots and value is not None:
+                    rows += [(path, r["at"], r["raw"], r["many"], r["targets"], r["anchors"] == "explicit") for r in typed_refs(roots[owner], json.loads(value))]
             c = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(c, kinds, strict=True)], names=["path", "at", "raw", "many", "targets", "explicit"])
 
-    return records.select("path", "value").mapInArrow(run, "path string, at string, raw string, many boolean, targets array<string>, explicit boolean")
+    return records.select("path", "owner", "value").mapInArrow(run, "path string, at string, raw string, many boolean, targets array<string>, explicit boolean")
 
 
 def allowed(record: Column, collections: Column, targets: list[str], names: set[str]) -> Column:
-    """Whether a target path is in one of the named collections or matches one of the globs."""
-    if not targets:
-        return F.lit(True)
+    """Whether a target path is in one of the named collections alone or matches one of the globs; without any, nothing is."""
     test = F.lit(False)
     for t in targets:
-        test = test | (F.array_contains(collections, t) if t in names else paths.glob(t)(record))
+        test = test | ((F.size(collections) == 1) & F.array_contains(collections, t) if t in names else paths.glob(t)(record))
     return test
 
 
-def target_issues(resolved: DataFrame, files: DataFrame, targets: list[str], names: set[str]) -> DataFrame:
-    """ref-target-not-allowed for resolved references (path, at, raw, status, record) that a declaration restricts."""
+def declared_targets(schema: object) -> set[tuple[str, ...]]:
+    """Every list of targets that stands anywhere in a schema."""
+    out: set[tuple[str, ...]] = set()
+    if isinstance(schema, dict):
+        ref = schema.get("x-vmd-ref")
+        if isinstance(ref, dict) and isinstance(ref.get("targets"), list):
+            out.add(tuple(ref["targets"]))
+    for part in schema.values() if isinstance(schema, dict) else schema if isinstance(schema, list) else ():
+        out |= declared_targets(part)
+    return out
+
+
+def target_issues(limited: DataFrame, files: DataFrame, lists: set[tuple[str, ...]], names: set[str]) -> DataFrame:
+    """ref-target-not-allowed for resolved references (path, at, raw, status, record, targets) that their declaration restricts.
+
+    lists has every list of targets that a declaration can have: schemas are few, so each becomes an expression.
+    """
     held = files.select(F.col("path").alias("record"), "collections")
-    live = resolved.where("status in ('ok', 'aliased')").join(held, "record", "left")
-    return issues_of(live.where(~F.coalesce(allowed(F.col("record"), F.col("collections"), targets, names), F.lit(False))), "ref-target-not-allowed", F.col("at"), F.col("raw"))
+    live = limited.where("status in ('ok', 'aliased')").join(held, "record", "left")
+    fits = F.lit(False)
+    for targets in sorted(lists):
+        own = F.array(*map(F.lit, targets)) if targets else F.array().cast("array<string>")
+        fits = fits | ((F.col("targets") == own) & F.coalesce(allowed(F.col("record"), F.col("collections"), list(targets), names), F.lit(False)))
+    return issues_of(live.where(F.col("targets").isNotNull() & ~fits).select("path", "at", "raw").distinct(), "ref-target-not-allowed", F.col("at"), F.col("raw"))
 
 
 def fragile_issues(resolved: DataFrame, anchors: DataFrame, nodes: DataFrame) -> DataFrame:

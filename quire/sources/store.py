@@ -21,7 +21,6 @@ from ..operators import binding, checks, listing, references, resolve
 from ..parse.arrow import exploded, parse_files, values_at
 from ..plans.query import condition
 from ..plans.scopes import ValueScope
-from ..schema.spine import declared_refs
 from ..schema.validate import compile_schema, validate_records
 
 #: Names that the store format fixes. Fixed values.
@@ -154,10 +153,6 @@ class Store:
         claimed = paths.collections_of(F.col("path"), self.config.collections)
         return F.when(F.size(claimed) == 1, F.element_at(claimed, 1))
 
-    def _of(self, name: str) -> Column:
-        """Whether a row's path is claimed by this collection alone."""
-        return F.coalesce(self._owner() == name, F.lit(False))
-
     @property
     def nodes(self) -> DataFrame:
         """Nodes of readable records; steps into declared keyed lists are keys."""
@@ -196,17 +191,20 @@ class Store:
         own = self.alias_lines.where("kind = 'anchor'").select("record", "source", "target", "line")
         return references.anchor_renames(own, references.alias_chains(self.aliases, self.files))
 
+    @cached_property
+    def typed(self) -> DataFrame | None:
+        """References that the schemas of collections declare; None if none does."""
+        declared = {name: schema for name, schema in self.schemas.items() if "x-vmd-ref" in str(schema)}
+        return binding.extract_typed(self.parsed.where("readable").withColumn("owner", self._owner()), declared) if declared else None
+
     @cached_property
     def refs(self) -> DataFrame:
         """References with their resolved target: ref_id, path, at, kind, raw, start, target, fragment_kind, steps."""
         raw = exploded(self.parsed.where("readable"), "refs")
-        for name, schema in self.schemas.items():
-            if any(word in str(schema) for word in ("x-vmd-ref",)):
-                own = self.parsed.where(F.col("readable") & self._of(name))
-                typed = binding.extract_typed(own, schema)
-                # A $ref object with a declaration is still one reference.
-                fresh = typed.select("path", "at", F.lit("typed").alias("kind"), "raw", F.lit(0).cast("long").alias("start")).join(raw.select("path", "at"), ["path", "at"], "left_anti")
-                raw = raw.unionByName(fresh)
+        if self.typed is not None:
+            # A $ref object with a declaration is still one reference.
+            fresh = self.typed.select("path", "at", F.lit("typed").alias("kind"), "raw", F.lit(0).cast("long").alias("start")).join(raw.select("path", "at"), ["path", "at"], "left_anti")
+            raw = raw.unionByName(fresh)
         u = uri.resolve(F.col("raw"), F.col("path"))
         r = raw.withColumn("u", u).withColumn("ref_id", F.xxhash64("path", "at", "start", "raw"))
         inside = F.col("u.kind").isin("path", "directory")
@@ -343,11 +341,10 @@ class Store:
             parts.append(checks.issues_of(moved.withColumnRenamed("source", "path"), "alias-shadowed", message=F.col("path")))
             reached = references.shadowed_names(self.renames, resolve.first_names(self.nodes, self.anchors))
             parts.append(checks.issues_of(reached, "alias-shadowed", F.col("at"), F.col("name")))
-        for name, schema in self.schemas.items():
-            for path, ref in declared_refs(schema):
-                if ref.get("targets"):
-                    own = resolved.where(self._of(name) & F.col("at").rlike(path))
-                    parts.append(binding.target_issues(own, self.files, ref["targets"], set(self.config.collections)))
+        if self.typed is not None:
+            lists = set().union(*map(binding.declared_targets, self.schemas.values()))
+            limited = resolved.join(self.typed.select("path", "at", "targets").where("targets is not null").distinct(), ["path", "at"])
+            parts.append(binding.target_issues(limited, self.files, lists, set(self.config.collections)))
         return checks.union_all(parts)
 
     def build_index(self, folder: str) -> None:

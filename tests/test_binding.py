@@ -71,3 +71,14 @@ def test_values_of_nodes(spark):
     got = {a: s.get(f"a.json#{a}").select("value").first()["value"] for a in ("x", "x/z", "x/z/1", "x/z/2", "x/y", "n", "e")}
     assert got == {"x": '{"y":"q","z":[1,2.5,null]}', "x/z": "[1,2.5,null]", "x/z/1": "2.5", "x/z/2": "null", "x/y": '"q"', "n": "true", "e": "{}"}
     assert s.get("a.json").first()["value"] == '{"e":{},"n":true,"x":{"y":"q","z":[1,2.5,null]}}' and s.get("a.json#no").count() == 0
+
+
+def test_targets_of_deep_references(spark):
+    deep = "{x-vmd-ref: {targets: [pens]}}"
+    for _ in range(12):
+        deep = "{properties: {in: %s}}" % deep
+    config = "collections:\n  pens: {match: ['pens/*', 'both/*']}\n  inks: {match: ['inks/*', 'both/*']}\n  pots:\n    match: ['pots/*']\n    schema: {properties: {d: %s, n: {x-vmd-ref: {targets: []}}, any: {x-vmd-ref: {}}}}\n" % deep
+    nested = lambda v: '{"in":' * 12 + f'"{v}"' + "}" * 12
+    files = {"pens/a.json": "{}", "inks/a.json": "{}", "both/a.json": "{}", **{f"pots/{k}.json": f'{{"d": {nested(v)}}}' for k, v in (("1", "../pens/a.json"), ("2", "../inks/a.json"), ("3", "../both/a.json"))}, "pots/4.json": '{"n": "../pens/a.json", "any": "../inks/a.json"}'}
+    issues = Store.of(spark, {".vmd/config.yaml": config} | files).check().where("code = 'ref-target-not-allowed'").collect()
+    assert sorted((r["path"], r["message"]) for r in issues) == [("pots/2.json", "../inks/a.json"), ("pots/3.json", "../both/a.json"), ("pots/4.json", "../pens/a.json")]
