@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..schema.spine import Spine, item_keys, typed_refs
+from . import resolve
 from .checks import issues_of
 
 
@@ -99,6 +100,26 @@ def target_issues(limited: DataFrame, files: DataFrame, lists: set[tuple[str, ..
     return issues_of(live.where(F.col("targets").isNotNull() & ~fits).select("path", "at", "raw").distinct(), "ref-target-not-allowed", F.col("at"), F.col("raw"))
 
 
+def unanchored_issues(limited: DataFrame, anchors: DataFrame, nodes: DataFrame) -> DataFrame:
+    """ref-target-not-allowed for references declared with `anchors: explicit` (ref_id, path, at, raw, status, record,
+    target_at, fragment_kind, steps, explicit) that a step reaches by a title-derived name or a position alone.
+
+    A target's route is its nearest ancestors, one a step. A step names a section, or the root, soundly only by an explicit or
+    block anchor there, and an item of a list without keys only by one too; members and keys of keyed lists are sound.
+    """
+    asked = limited.where("explicit and status = 'ok' and fragment_kind = 'semantic'").select("ref_id", "path", "at", "raw", "record", "target_at", "steps").distinct()
+    held = nodes.where("at = '' or step is not null").select(F.col("path").alias("record"), F.col("at").alias("here"), "kind", F.col("parent").alias("above"))
+    route = asked.withColumn("here", F.explode(resolve.ancestors(F.col("target_at")))).join(held, ["record", "here"])
+    up = F.row_number().over(Window.partitionBy("ref_id", "target_at").orderBy(F.desc(F.length("here"))))
+    route = route.withColumn("up", up).where(F.col("up") <= F.size("steps")).withColumn("name", F.element_at("steps", F.size("steps") - F.col("up") + 1))
+    lists = nodes.where("kind = 'array'").select(F.col("path").alias("record"), F.col("at").alias("above"), F.lit(True).alias("listed"))
+    sound = anchors.where("kind in ('explicit', 'block')").select(F.col("path").alias("record"), F.col("at").alias("here"), "name", F.lit(True).alias("sound")).distinct()
+    told = route.join(lists, ["record", "above"], "left").join(sound, ["record", "here", "name"], "left")
+    item = F.col("listed") & (F.substring_index("here", "/", -1) == F.col("name"))
+    fragile = F.col("sound").isNull() & ((F.col("here") == "") | (F.col("kind") == "section") | F.coalesce(item, F.lit(False)))
+    return issues_of(told.where(fragile).select("path", "at", "raw").distinct(), "ref-target-not-allowed", F.col("at"), F.col("raw"))
+
+
 def fragile_issues(resolved: DataFrame, anchors: DataFrame, nodes: DataFrame) -> DataFrame:
     """Warnings for references whose first step is reached by a derived anchor alone: ref-derived-repeat where another
     heading of the record has the same key, else ref-derived-anchor."""

@@ -18,7 +18,7 @@ SEVERITY = {
     "path-case-conflict": "warning", "collection-conflict": "error", "filename-mismatch": "error",
     "ref-dangling": "error", "ref-ambiguous": "error", "ref-aliased": "warning", "ref-target-unreadable": "warning",
     "ref-target-not-allowed": "error", "ref-derived-anchor": "warning", "ref-derived-repeat": "warning",
-    "alias-shadowed": "warning", "syntax-error": "error", "multiple-h1": "warning",
+    "alias-shadowed": "warning", "schema-invalid": "error", "syntax-error": "error", "multiple-h1": "warning",
 }
 #: Codes that a lenient store only warns about. Fixed values.
 LENIENT = ("duplicate-key", "duplicate-anchor")

@@ -20,12 +20,16 @@ from ..functions.text import git_blob_id
 from ..operators import binding, checks, listing, references, resolve
 from ..parse.arrow import exploded, parse_files, values_at
 from ..plans.query import condition
+from ..plans.vql import fields_of, parse
 from ..plans.scopes import ValueScope
+from ..schema import spine
 from ..schema.validate import compile_schema, validate_records
+from . import schemas
 
 #: Names that the store format fixes. Fixed values.
 CONFIG = ".vmd/config.yaml"
 ALIASES = ".vmd/aliases.jsonl"
+SCHEMAS = ".vmd/schema/"
 MEMBERS = {"vmd", "uniqueness", "yaml_quoting", "issues", "ignore", "collections"}
 
 
@@ -107,9 +111,13 @@ class Store:
     def of(cls, spark: SparkSession, files: dict[str, str | bytes]) -> Store:
         return cls(memory_files(spark, files))
 
-    def _text(self, path: str) -> str | None:
+    def _bytes(self, path: str) -> bytes | None:
         row = self.all_files.where(F.col("path") == path).select("content").first()
-        return None if row is None else bytes(row["content"]).decode()
+        return None if row is None else bytes(row["content"])
+
+    def _text(self, path: str) -> str | None:
+        held = self._bytes(path)
+        return None if held is None else held.decode()
 
     def _read_config(self) -> Config:
         text = self._text(CONFIG)
@@ -132,22 +140,45 @@ class Store:
             self.__dict__["parsed"] = self.parsed.persist()
         return self
 
+    def _part(self, paths_: DataFrame) -> Store:
+        """This store with the parse of some records (path) alone; its files are still all there."""
+        part = Store(self.all_files, self.config, self.parsed.join(paths_, "path", "left_semi"))
+        part.__dict__.update(files=self.files, loaded_schemas=self.loaded_schemas, schemas=self.schemas)
+        return part
+
     @cached_property
     def records(self) -> DataFrame:
         held = self.files.select("path", "collections", "size")
         return self.parsed.select("path", "format", "version", "readable", "value").join(held, "path")
 
     @cached_property
-    def schemas(self) -> dict[str, object]:
-        """Collection -> its schema, inline or from the schema folder."""
+    def loaded_schemas(self) -> dict[str, tuple[object, list[str]]]:
+        """Collection -> its schema, inline or from the schema folder with the files that it names, and what keeps it from being used."""
         out = {}
         for name, c in self.config.collections.items():
-            text = self._text(f".vmd/schema/{c['schema']}") if isinstance(c.get("schema"), str) else None
-            schema = yaml.safe_load(text) if text else c.get("schema") if isinstance(c.get("schema"), dict) else None
-            if schema:
-                out[name] = schema
+            held = c.get("schema")
+            if isinstance(held, str):
+                out[name] = schemas.load(held, lambda file: self._bytes(SCHEMAS + file))
+            elif held:
+                out[name] = held, spine.problems(held)
         return out
 
+    @cached_property
+    def schemas(self) -> dict[str, object]:
+        """Collection -> its schema, for those that can be used."""
+        return {name: schema for name, (schema, found) in self.loaded_schemas.items() if not found}
+
+    def _schema_issues(self) -> DataFrame:
+        """One schema-invalid for each collection whose schema can't be used; it belongs to the store, not to a record."""
+        rows = [("schema-invalid", None, None, f"the schema of {name} can't be used: {'; '.join(found)}") for name, (_, found) in sorted(self.loaded_schemas.items()) if found]
+        return self.all_files.sparkSession.createDataFrame(rows, "code string, path string, at string, message string")
+
+    def require_schemas(self, collection: str | None = None) -> None:
+        """SchemaError if a strict read over the collection, or over all, meets a schema that can't be used."""
+        for name, (_, found) in self.loaded_schemas.items():
+            if found and collection in (None, name):
+                raise spine.SchemaError(f"{name}: {'; '.join(found)}")
+
     def _owner(self) -> Column:
         """The collection that alone claims a row's path, or null."""
         claimed = paths.collections_of(F.col("path"), self.config.collections)
@@ -215,14 +246,25 @@ class Store:
         kind = F.when(fragment == "", "root").when(exact, "exact").otherwise("semantic")
         return r.select("ref_id", "path", "at", "kind", "raw", "start", F.when(inside, F.col("u.target")).alias("target"), kind.alias("fragment_kind"), steps.alias("steps"))
 
-    def resolved_refs(self) -> DataFrame:
-        """refs with status, record and target_at (one row per target)."""
+    @cached_property
+    def _resolved(self) -> DataFrame:
+        return self._resolve_refs(self.refs)
+
+    def resolved_refs(self, within: DataFrame | None = None) -> DataFrame:
+        """refs with status, record and target_at (one row per target); of the records `within` (path) alone, if given.
+
+        Those of the whole store are settled once. Of a part, only the records that its references reach are read.
+        """
+        return self._resolved if within is None else self._resolve_refs(self.refs.join(within, "path", "left_semi"), part=True)
+
+    def _resolve_refs(self, refs: DataFrame, part: bool = False) -> DataFrame:
         everything = self.files.select("path").union(references.directories(self.files))
-        settled = checkpointed(references.record_status(self.refs, everything, self.aliases))
+        settled = checkpointed(references.record_status(refs, everything, self.aliases))
+        reached = self._part(settled.select(F.col("record").alias("path")).where("path is not null").distinct()) if part else self
         if self.renames is not None:
-            settled = checkpointed(references.renamed_steps(settled, self.renames, resolve.first_names(self.nodes, self.anchors)))
+            settled = checkpointed(references.renamed_steps(settled, self.renames, resolve.first_names(reached.nodes, reached.anchors)))
         longest = settled.agg(F.max(F.size("steps"))).first()[0] or 1
-        told = references.node_status(settled, self.nodes, self.anchors, max(1, longest)).select("ref_id", F.col("status").alias("node_status"), F.col("at").alias("target_at"))
+        told = references.node_status(settled, reached.nodes, reached.anchors, max(1, longest)).select("ref_id", F.col("status").alias("node_status"), F.col("at").alias("target_at"))
         assets = settled.join(told, "ref_id", "left")
         is_record = paths.record_format(F.col("record")).isNotNull()
         status = F.when(F.col("status").isin("ok", "aliased") & is_record, F.col("node_status")).otherwise(F.col("status"))
@@ -274,10 +316,7 @@ class Store:
         rows = self.candidates(target)
         if collection is not None:
             rows = rows.where(F.col("collection") == collection)
-        needed = set()
-        for name in ("@refs", "@issues"):
-            if name in text:
-                needed.add(name)
+        needed = fields_of(parse(text))
         if "@refs" in needed:
             targets = self.resolved_refs().where("status in ('ok', 'aliased')")
             name = F.concat("record", F.when(F.col("target_at") == "", F.lit("")).otherwise(F.concat(F.lit("#"), "target_at")))
@@ -295,32 +334,47 @@ class Store:
             parts.append(validate_records(own, compile_schema(schema)))
         return checks.union_all(parts) if parts else self.all_files.sparkSession.createDataFrame([], "code string, path string, at string, message string")
 
+    def scope(self, changed: DataFrame) -> DataFrame | None:
+        """Records (path) that a check after changes to paths reads: the changed ones and those that cite one or a folder above
+        one. None, for the whole store, if the configuration, a schema or the alias file changed, or a path that an alias names.
+        """
+        own = F.col("path").isin(CONFIG, ALIASES) | F.col("path").startswith(SCHEMAS)
+        if not changed.where(own).isEmpty():
+            return None
+        if self.alias_lines is not None:
+            named = self.alias_lines.select(F.explode(F.array("record", F.when(F.col("kind") == "record", F.col("source")), F.when(F.col("kind") == "record", F.col("target")))).alias("path"))
+            if not changed.join(named, "path", "left_semi").isEmpty():
+                return None
+        return checkpointed(references.changed_scope(changed.select("path"), self.refs))
+
     def check(self, changed: DataFrame | None = None) -> DataFrame:
-        """All issues with severities; with changed paths, those of the changed scope.
+        """All issues with severities; with changed paths, those of the changed scope and of the store itself.
 
-        A check reads the parse a dozen times, so it is kept, unless it comes from an index.
+        A check reads the parse a dozen times, so it is kept, unless it comes from an index. Of a scope, only its own records
+        are checked and only the records that they cite are resolved in; over an index, nothing else is parsed or bound.
         """
         p = F.col("path")
         if self._parsed is None:
             self.cached()
-        structural = exploded(self.parsed, "issues").select("code", "path", "at", "message")
-        names = self.files.where(F.col("kind") == "record")
+        within = None if changed is None else self.scope(changed)
+        part = self if within is None else self._part(within)
+        inside = lambda df: df if within is None else df.join(within, "path", "left_semi")
+        structural = exploded(part.parsed, "issues").select("code", "path", "at", "message")
+        names = inside(self.files.where(F.col("kind") == "record"))
         parts = [
             structural,
-            checks.duplicate_keys(self.nodes.where("kind <> 'array' and not (step is null)")),
-            checks.duplicate_anchors(self.anchors),
-            checks.duplicate_tags(self.tags),
+            self._schema_issues(),
+            checks.duplicate_keys(part.nodes.where("kind <> 'array' and not (step is null)")),
+            checks.duplicate_anchors(part.anchors),
+            checks.duplicate_tags(part.tags),
             checks.issues_of(names.where(F.size(paths.path_problems(p)) > 0), "path-invalid", message=F.array_join(paths.path_problems(p), ",")),
             checks.issues_of(names.where(F.size("collections") > 1), "collection-conflict", message=F.array_join("collections", ",")),
-            checks.issues_of(listing.case_conflicts(self.files), "path-case-conflict", message=F.col("first")),
-            self.validation(),
+            checks.issues_of(inside(listing.case_conflicts(self.files)), "path-case-conflict", message=F.col("first")),
+            part.validation(),
             self._filename_issues(names),
-            self._reference_issues(),
+            self._reference_issues(within),
         ]
-        found = checks.severities(checks.union_all(parts), self.config.uniqueness, self.config.issues)
-        if changed is not None:
-            found = found.join(references.changed_scope(changed, self.refs), "path", "left_semi")
-        return found
+        return checks.severities(checks.union_all(parts), self.config.uniqueness, self.config.issues)
 
     def _filename_issues(self, names: DataFrame) -> DataFrame:
         from ..functions.portable import translate
@@ -331,20 +385,25 @@ class Store:
                 test = test | (F.array_contains("collections", name) & ~paths.last_segment(F.col("path")).rlike(translate(c["filename"])))
         return checks.issues_of(names.where(test), "filename-mismatch")
 
-    def _reference_issues(self) -> DataFrame:
-        resolved = self.resolved_refs()
+    def _reference_issues(self, within: DataFrame | None = None) -> DataFrame:
+        resolved = self.resolved_refs(within)
         r = resolved.where("status not in ('ok', 'outside')").select("ref_id", "path", "at", "raw", "status").distinct()
         code = F.when(F.col("status") == "unreadable", "ref-target-unreadable").otherwise(F.concat(F.lit("ref-"), "status"))
-        parts = [r.select(code.alias("code"), "path", "at", F.col("raw").alias("message")), binding.fragile_issues(resolved, self.anchors, self.nodes)]
+        reached, inside = self, lambda df: df
+        if within is not None:
+            reached = self._part(resolved.select(F.col("record").alias("path")).where("path is not null").distinct())
+            inside = lambda df: df.join(within, "path", "left_semi")
+        parts = [r.select(code.alias("code"), "path", "at", F.col("raw").alias("message")), binding.fragile_issues(resolved, reached.anchors, reached.nodes)]
         if self.aliases is not None:
-            moved = references.shadowed(self.aliases, self.files.where("kind = 'record'")).select("source").distinct()
-            parts.append(checks.issues_of(moved.withColumnRenamed("source", "path"), "alias-shadowed", message=F.col("path")))
-            reached = references.shadowed_names(self.renames, resolve.first_names(self.nodes, self.anchors))
-            parts.append(checks.issues_of(reached, "alias-shadowed", F.col("at"), F.col("name")))
+            moved = references.shadowed(self.aliases, self.files.where("kind = 'record'")).select(F.col("source").alias("path")).distinct()
+            parts.append(checks.issues_of(inside(moved), "alias-shadowed", message=F.col("path")))
+            own = self if within is None else self._part(within)
+            parts.append(checks.issues_of(references.shadowed_names(self.renames, resolve.first_names(own.nodes, own.anchors)), "alias-shadowed", F.col("at"), F.col("name")))
         if self.typed is not None:
             lists = set().union(*map(binding.declared_targets, self.schemas.values()))
-            limited = resolved.join(self.typed.select("path", "at", "targets").where("targets is not null").distinct(), ["path", "at"])
-            parts.append(binding.target_issues(limited, self.files, lists, set(self.config.collections)))
+            limited = resolved.join(self.typed.select("path", "at", "targets", "explicit").where("targets is not null or explicit").distinct(), ["path", "at"])
+            refused = binding.target_issues(limited, self.files, lists, set(self.config.collections)).unionByName(binding.unanchored_issues(limited, reached.anchors, reached.nodes))
+            parts.append(refused.distinct())
         return checks.union_all(parts)
 
     def build_index(self, folder: str) -> None:
