@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.portable import PortableError, translate
-from .functions.text import java_quote
+from .functions.text import git_blob_id, java_quote
 from .operators import checks, listing, meta, references
 from .plans.query import Sort, page, per_record
 from .plans.vql import VqlError
-from .schema.spine import summary_table
+from .schema.spine import SchemaError, summary_table
 from .session import session
+from .sources import git
 from .sources.store import ConfigError, Store
 
 OK, ISSUES, USAGE, STORE, NOT_FOUND = range(5)
@@ -60,6 +61,7 @@ def parser() -> argparse.ArgumentParser:
     g = command("check", limit=listing.ISSUE_LIMIT)
     g.add_argument("paths", nargs="*")
     g.add_argument("--all", action="store_true")
+    g.add_argument("--changed", metavar="REV")
     command("index", "folder")
     g = command("query", "vql", limit=20)
     g.add_argument("--collection")
@@ -129,7 +131,12 @@ def run(args: argparse.Namespace, store: Store) -> tuple[int, list[str]]:
         return OK, out(summary_table(store.all_files.sparkSession, yaml.safe_load(text) if text else held.get("schema") or {}))
     if args.command == "check":
         spark = store.all_files.sparkSession
+        if args.paths and args.changed:
+            raise ValueError("check takes paths or --changed, not both")
         changed = spark.createDataFrame([(p,) for p in args.paths], "path string") if args.paths else None
+        if args.changed:
+            versioned = store.all_files.select("path", git_blob_id(F.col("content")).alias("version"))
+            changed = git.changed_since_revision(versioned, args.store, args.changed)
         issues = store.check(changed).cache()
         errors = issues.where("severity = 'error'").limit(1).count()
         listed = checks.ordered(issues) if args.all else checks.ordered(issues).limit(listing.bounded(args.n))
@@ -139,6 +146,7 @@ def run(args: argparse.Namespace, store: Store) -> tuple[int, list[str]]:
         return OK, []
     rows = store.query(args.vql, "nodes" if args.nodes else "records", args.collection)
     if args.strict:
+        store.require_schemas(args.collection)
         rows = checks.strict(rows, store.check())
     sort = [Sort(s.lstrip("-"), s.startswith("-")) for s in args.sort.split(",") if s]
     if args.nodes:
@@ -151,9 +159,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = session(**{"spark.ui.showConsoleProgress": "false"})
     try:
         code, lines = run(args, Store.open(spark, args.store).cached())
-    except (VqlError, PortableError, ValueError) as e:
+    except (VqlError, PortableError, ValueError, git.GitError) as e:
         print(e, file=sys.stderr)
-        return STORE if isinstance(e, ConfigError) else USAGE
+        return STORE if isinstance(e, (ConfigError, git.GitError, SchemaError)) else USAGE
     print("\n".join(lines))
     return code
 

@@ -1,12 +1,16 @@
 """Stores end to end: tables, addresses, references, checks, increments and the command line."""
 
+import json
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import listing, meta, references
+from quire.plans import vql
 from quire.schema import spine as spines
 from quire.schema.validate import violations
-from quire.sources import snapshot
+from quire.sources import git, snapshot
 from quire.sources.store import Config, ConfigError, Store, memory_files, read_config
 from quire.streaming import incremental
 
@@ -241,3 +245,68 @@ def test_anchor_aliases(spark):
     assert {r["raw"]: (r["status"], r["target_at"]) for r in s.resolved_refs().collect()} == asked
     told = {(r["path"], r["at"], r["message"]) for r in s.check().where("code = 'alias-shadowed'").collect()}
     assert told == {("live.md", "", "live.md"), ("here.md", "/$sections/0", "pond")}
+
+
+def test_schema_files_that_name_each_other(spark):
+    files = {
+        ".vmd/config.yaml": "collections:\n  a: {match: ['a/*'], schema: a.yaml}\n  b: {match: ['b/*'], schema: b.yaml}\n  c: {match: ['c/*'], schema: gone.yaml}\n",
+        ".vmd/schema/a.yaml": "properties: {n: {$ref: 'parts/n.yaml#/$defs/small'}, next: {$ref: '#/properties/n'}}\n",
+        ".vmd/schema/parts/n.yaml": "$defs: {small: {$ref: 'm.yaml'}}\n", ".vmd/schema/parts/m.yaml": "type: integer\nmaximum: 3\n",
+        ".vmd/schema/b.yaml": "properties: {n: {$ref: '../config.yaml'}, m: {type: nothing}}\n", "a/1.yaml": "n: 5\nnext: 4\n", "a/2.yaml": "n: 1\n", "b/1.yaml": "n: 5\n",
+    }
+    s = Store.of(spark, files)
+    got = [(r["code"], r["path"], r["at"], r["message"].split(" can't")[0]) for r in s.check().collect()]
+    assert sorted((c, p or "", a or "") for c, p, a, _ in got) == [("schema-invalid", "", ""), ("schema-invalid", "", ""), ("schema-violation", "a/1.yaml", "/n"), ("schema-violation", "a/1.yaml", "/next")]
+    assert sorted(m for c, _, _, m in got if c == "schema-invalid") == ["the schema of b", "the schema of c"]
+    s.require_schemas("a")
+    with pytest.raises(spines.SchemaError, match="outside"):
+        s.require_schemas()
+
+
+def test_explicit_anchors_of_references(spark):
+    schema = {"properties": {"to": {"type": "array", "items": {"type": "string", "format": "uri-reference", "x-vmd-ref": {"anchors": "explicit"}}}, "free": {"type": "string", "format": "uri-reference", "x-vmd-ref": {}}}}
+    to = ["t.md#own", "t.md#top", "t.md#own/sub", "t.md#own/pin", "t.md#below", "t.md#status", "t.md#list/0", "t.md#list", "t.md", "t.md#/$sections/0", "t.md#title"]
+    text = '---\nstatus: x\nlist: [p, q]\n---\n\n# Title\n\n## Top <a id="own"></a>\n\na\n\n### Sub\n\n#### Below\n\nb\n\n### Other <a id="pin"></a>\n\nc\n'
+    files = {"r/1.json": json.dumps({"to": to, "free": "t.md#sub"}).replace("t.md", "../t.md"), "t.md": text}
+    s = Store(memory_files(spark, files), Config(collections={"r": {"match": ["r/*"], "schema": schema}}))
+    got = sorted(r["message"].split("t.md")[1] for r in s.check().where("code = 'ref-target-not-allowed'").collect())
+    assert got == sorted(["#top", "#own/sub", "#below", "#list/0", "#title"])
+
+
+def test_a_check_of_changes_is_the_whole_check_cut_to_its_scope(store, spark):
+    whole = [tuple(r) for r in store.check().collect()]
+    for path in ("tickets/Bad Name.md", "perf/bad.json", "img/x.png", "gone.md"):
+        changed = spark.createDataFrame([(path,)], "path string")
+        scope = {r["path"] for r in store.scope(changed).collect()}
+        assert path in scope and sorted(map(tuple, store.check(changed).collect())) == sorted(r for r in whole if r[1] in scope)
+    for path in (".vmd/aliases.jsonl", ".vmd/schema/x.yaml", "tickets/0001-pump.md", "a.md"):  # what aliases name widens a check
+        assert store.scope(spark.createDataFrame([(path,)], "path string")) is None
+
+
+def test_words_that_look_like_computed_fields_need_nothing(store):
+    assert vql.fields_of(vql.parse('"@issues" OR (a -@refs:x/*) AND b.c:>1')) == {"@refs", "b.c"}
+    assert store.query('"@issues"').collect() == []
+
+
+def test_revisions(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for name, text in (("a.md", "# A\n"), ("b.md", "[a](a.md)\n"), ("d/ü c.md", "x"), ("e.md", "")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    run("add", ".")
+    run("commit", "-qm", "1")
+    (tmp_path / "a.md").write_text("# B\n")
+    (tmp_path / "e.md").unlink()
+    (tmp_path / "new.md").write_text("[x](y.md)\n")
+    was = {r["path"]: bytes(r["content"]).decode() for r in git.revision_files(spark, str(tmp_path), "HEAD").collect()}
+    assert was == {"a.md": "# A\n", "b.md": "[a](a.md)\n", "d/ü c.md": "x", "e.md": ""}
+    files = Store.open(spark, str(tmp_path)).files
+    assert sorted(r["path"] for r in git.changed_since_revision(files, str(tmp_path), "HEAD").collect()) == ["a.md", "e.md", "new.md"]
+    s = Store.open(spark, str(tmp_path))
+    assert sorted(r["path"] for r in s.scope(git.changed_since_revision(files, str(tmp_path), "HEAD")).collect()) == ["a.md", "b.md", "e.md", "new.md"]
+    for wrong in ("-x", "HEAD..HEAD", ""):
+        with pytest.raises(ValueError):
+            git.revision_paths(spark, str(tmp_path), wrong)
+    with pytest.raises(git.GitError):
+        git.revision_paths(spark, str(tmp_path), "none")
