@@ -1,6 +1,6 @@
 """Queries over the driver's tables, read as stores, one or more for each operator, with equivalent SQL."""
 
-from . import bindings, records, search, storage, stores  # noqa: F401
+from . import bindings, checked, records, search, storage, stores  # noqa: F401
 from .registry import QUERIES, SQL
 
 

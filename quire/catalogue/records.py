@@ -12,7 +12,6 @@ from ..sources.tables import conversation_nodes, document_files, key_files, key_
 from .registry import query
 from .storage import KEYS
 
-NO_STEPS = "array()"
 
 
 def order_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,55 +215,6 @@ def logical_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy("key", "event_id").limit(100).select("event_id")
 
 
-CHECK = f"""(SELECT path, code FROM (SELECT 'conversations/' || conv_id || '.json' AS path, 'duplicate-key' AS code, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) WHERE n > 1
-UNION ALL SELECT path, 'schema-violation' FROM {VIOLATIONS}
-UNION ALL SELECT 'customer/' || o_custkey || '.json', 'ref-dangling' FROM orders WHERE o_custkey % 7 = 0)"""
-
-
-def all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").withColumn("path", record_path("orders", F.col("o_orderkey")))
-    dangling = orders.where("o_custkey % 7 = 0").withColumn("path", record_path("customer", F.col("o_custkey")))
-    return checks.union_all([
-        checks.duplicate_keys(conversation_nodes(table(spark, sf_dir, "conversations"))),
-        checks.violations(orders, order_rules()),
-        checks.issues_of(dangling, "ref-dangling"),
-    ])
-
-
-@query(f"SELECT path, code, CASE WHEN code = 'duplicate-key' THEN 'warning' ELSE 'error' END AS severity, count(*) AS n FROM {CHECK} GROUP BY ALL")
-def check_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lenient store's whole check."""
-    found = checks.severities(all_issues(spark, sf_dir), "lenient")
-    return found.groupBy("path", "code", "severity").agg(F.count("*").alias("n"))
-
-
-@query(f"SELECT code, 'error' AS severity, count(*) AS n FROM {CHECK} GROUP BY code")
-def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.counts(checks.severities(all_issues(spark, sf_dir)))
-
-
-@query(f"SELECT code, CASE WHEN code = 'ref-dangling' THEN 'warning' ELSE 'error' END AS severity, count(*) AS n FROM {CHECK} WHERE code <> 'schema-violation' GROUP BY code")
-def severity_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.counts(checks.severities(all_issues(spark, sf_dir), overrides={"schema-violation": "off", "ref-dangling": "warning"}))
-
-
-@query(f"SELECT 'orders/' || o_orderkey || '.json' AS path FROM orders WHERE 'orders/' || o_orderkey || '.json' NOT IN (SELECT path FROM {VIOLATIONS})")
-def strict_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(record_path("orders", F.col("o_orderkey")).alias("path"))
-    return checks.strict(orders, all_issues(spark, sf_dir))
-
-
-@query(f"SELECT (SELECT count(*) FROM orders) AS n_records, (SELECT count_if(o_orderstatus = 'P') FROM orders) AS n_unreadable, count(*) AS n_issues, count_if(code <> 'duplicate-key') AS n_errors FROM {CHECK}")
-def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") != "P").alias("readable"))
-    return checks.summary(records, checks.severities(all_issues(spark, sf_dir), "lenient"))
-
-
-@query("SELECT lang AS collection, count_if(text = '') AS n_unreadable, count(*) AS n FROM documents GROUP BY lang")
-def unreadable_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("collection")).agg(F.count_if(F.col("text") == "").alias("n_unreadable"), F.count("*").alias("n"))
-
-
 @query("""SELECT DISTINCT path FROM (SELECT 'nation/' || n_nationkey || '.json' AS path FROM nation WHERE n_regionkey = 2
 UNION SELECT 'customer/' || c_custkey || '.json' FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)
 UNION SELECT 'supplier/' || s_suppkey || '.json' FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2))""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import checks, listing
+from ..operators import listing
 from ..sources.tables import document_files, key_files, table
 from .registry import query
 
@@ -152,11 +152,3 @@ def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slug_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[^ -~]", "")
     return table(spark, sf_dir, "pages").select("page_id", text.slug_ascii(title).alias("slug"))
-
-
-@query("SELECT c AS collection, count(*) AS n_records, count_if(text = '') AS n_unreadable FROM (SELECT CASE WHEN lang = 'en' AND source = 'src0' THEN '(conflict)' WHEN lang = 'en' THEN 'english' WHEN source = 'src0' THEN 'first' ELSE '(none)' END AS c, text FROM documents) GROUP BY c")
-def collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string"))
-    claimed = paths.collections_of(path, {"english": {"match": ["en/*/*"]}, "first": {"match": ["*/src0/*"]}})
-    return checks.collection_summary(docs.select(claimed.alias("collections"), (F.col("text") != "").alias("readable")))

@@ -84,7 +84,7 @@ def store_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(Store(docs.select("path", F.encode("t", "UTF-8").alias("content"), F.length("t").cast("long").alias("size")), Config()).parsed, "tags").select("path", "tag")
 
 
-def linked_store(spark: SparkSession, sf_dir: str) -> Store:
+def linked_store(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Store:
     """A record for each conversation that 5 doesn't divide, with links to the next one in every state that a link can have.
 
     Some missing records have moved to the next number, some have not. Anchor aliases are recorded under live and under
@@ -107,7 +107,7 @@ def linked_store(spark: SparkSession, sf_dir: str) -> Store:
     # The format holds all aliases in one file, so they are one row.
     listed = every.select(F.explode(F.array_compact(F.array(*lines))).alias("line")).agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text"))
     aliases = listed.select(F.lit(ALIASES).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return Store(records.unionByName(unreadable).unionByName(aliases).withColumn("size", F.octet_length("content").cast("long")), Config())
+    return Store(records.unionByName(unreadable).unionByName(aliases).withColumn("size", F.octet_length("content").cast("long")), config or Config())
 
 
 #: Each link of linked_store() with its state: t is the record that it names, d the one that it reaches.
@@ -133,11 +133,17 @@ def store_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_store(spark, sf_dir).resolved_refs().select("path", "raw", "status", F.when(held, F.col("record")).alias("record"), F.when(held, F.col("target_at")).alias("target_at")).distinct()
 
 
-@query(LINKED + """SELECT path, code, count(*) AS n FROM (
-SELECT 'talks/' || c || '.md' AS path, CASE WHEN status = 'unreadable' THEN 'ref-target-unreadable' ELSE 'ref-' || status END AS code FROM links WHERE status NOT IN ('ok', 'outside')
-UNION ALL SELECT 'talks/' || c || '.md', 'duplicate-key' FROM live
-UNION ALL SELECT 'talks/' || c || '.json', 'duplicate-member' FROM live WHERE c % 5 = 2
-UNION ALL SELECT 'talks/' || c || '.md', 'alias-shadowed' FROM live WHERE c % 5 IN (3, 4)) GROUP BY ALL""")
+#: Every issue of linked_store() with its default severity.
+ISSUES = LINKED + """, found AS (
+SELECT c, 'talks/' || c || '.md' AS path, CASE WHEN status = 'unreadable' THEN 'ref-target-unreadable' ELSE 'ref-' || status END AS code FROM links WHERE status NOT IN ('ok', 'outside')
+UNION ALL SELECT c, 'talks/' || c || '.md', 'duplicate-key' FROM live
+UNION ALL SELECT c, 'talks/' || c || '.json', 'duplicate-member' FROM live WHERE c % 5 = 2
+UNION ALL SELECT c, 'talks/' || c || '.md', 'alias-shadowed' FROM live WHERE c % 5 IN (3, 4)),
+issues AS (SELECT *, CASE WHEN code IN ('ref-aliased', 'ref-target-unreadable', 'alias-shadowed') THEN 'warning' ELSE 'error' END AS severity FROM found)
+"""
+
+
+@query(ISSUES + "SELECT path, code, count(*) AS n FROM issues GROUP BY ALL")
 def store_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole-store check of the same store, with aliases that name what is live again."""
     return linked_store(spark, sf_dir).check().groupBy("path", "code").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,18 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def line_starts(content: Column) -> Column:
+    """The byte offset at which each line of a binary content starts; a final break starts no line."""
+    @F.pandas_udf("array<long>")
+    def starts(contents: pd.Series) -> pd.Series:
+        def of(b: bytes | None) -> list[int] | None:
+            return None if b is None else [0, *(m.end() for m in re.finditer(LINE_BREAK.encode(), b) if m.end() < len(b))]
+
+        return contents.map(of)
+
+    return starts(content)
+
+
 def lf(text: Column) -> Column:
     """CRLF and CR as LF."""
     return F.regexp_replace(text, r"\r\n?", "\n")

@@ -74,6 +74,28 @@ def derived_anchors(titles: DataFrame) -> DataFrame:
     return titles.select("path", "doc_order", "title").groupBy("path").applyInArrow(run, f"path string, doc_order {kind}, anchor string")
 
 
+def written(values: DataFrame, kind: str) -> DataFrame:
+    """(path, content, problem) of records (path, value as JSON) in a format (md, yaml or json); a value that the format can't
+    hold has no content and says why."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .serialize import NotRepresentable, to_json, to_markdown, to_yaml
+
+        writer = {"md": to_markdown, "yaml": to_yaml, "json": to_json}[kind]
+        for batch in batches:
+            texts, problems = [], []
+            for value in batch.column(1).to_pylist():
+                try:
+                    texts.append(None if value is None else writer(json.loads(value)).encode())
+                    problems.append(None)
+                except NotRepresentable as e:
+                    texts.append(None)
+                    problems.append(str(e))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(problems, pa.string())], names=["path", "content", "problem"])
+
+    return values.select("path", "value").mapInArrow(run, "path string, content binary, problem string")
+
+
 def value_of(text: str | None) -> object:
     """A record's value from its canonical JSON."""
     return None if text is None else json.loads(text)

@@ -141,6 +141,15 @@ class TableScope:
         return self._any(columns, lambda c: text.has_word(c, word.text, word.prefix))
 
 
+def named(names: Column, term: Term) -> Column:
+    """Whether a list of names has any, one that starts so, or exactly this one."""
+    if term.op == "exists":
+        return certain(F.size(names) > 0)
+    if term.op == "prefix":
+        return certain(F.exists(names, lambda n: n.startswith(term.value)))
+    return certain(F.array_contains(names, term.value))
+
+
 #: A parsed record or section as a row: its values by semantic path (and exact path), each a list of leaves.
 LEAF = "struct<kind:string,str:string,num:double,flag:boolean>"
 
@@ -183,11 +192,13 @@ class ValueScope:
         if f == "@path":
             return certain(paths.glob(term.value)(F.col("path")))
         if f == "@tags":
-            return certain(F.array_contains("tags", term.value))
+            return named(F.col("tags"), term)
         if f == "@anchors":
-            return certain(F.exists("anchors", lambda a: a["name"] == term.value))
+            return named(F.col("anchors.name"), term)
         if f == "@refs":
-            return certain(F.array_contains("ref_targets", term.value))
+            return named(F.col("ref_targets"), term)
+        if f == "@issues" and term.op == "exists":
+            return F.col("n_issues") > 0
         if f == "@issues":
             return Field(F.col("n_issues").cast("double"), "number").test(term)
         if f == "@depth":

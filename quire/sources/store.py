@@ -326,6 +326,19 @@ class Store:
             rows = rows.join(self.check().groupBy("path").agg(F.count("*").alias("n_issues")), "path", "left").withColumn("n_issues", F.coalesce("n_issues", F.lit(0)))
         return rows.where(condition(text, ValueScope()))
 
+    def projected(self, found: DataFrame, fields: list[str] | None = None) -> DataFrame:
+        """Records (path) with collection, key, title and a map of fields by exact path, as text or JSON: those named, or the
+        ones that the collection's schema marks for summaries."""
+        rows = found.select("path").join(self.records, "path").withColumn("collection", self._owner())
+        at = lambda path: F.get_json_object("value", "$" + "".join(f"['{t}']" for t in path.replace("~1", "/").split("/")[1:]))
+        shown = lambda chosen: F.create_map(*(x for p in chosen for x in (F.lit(p), at(p)))) if chosen else F.create_map().cast("map<string,string>")
+        out = shown(fields or [])
+        if fields is None:
+            for name, schema in self.schemas.items():
+                out = F.when(F.col("collection") == name, shown([r["path"] for r in spine.summary(schema) if r["summary"]])).otherwise(out)
+        keys = binding.collection_keys(self.records, self.config.collections).select("path", "key")
+        return rows.select("path", "collection", at("/$title").alias("title"), out.alias("fields")).join(keys, "path", "left")
+
     def validation(self) -> DataFrame:
         """Schema violations of every collection that has an inline or file schema."""
         parts = []
