@@ -3,7 +3,8 @@
 Everything is a JVM expression over one scan; no row is shuffled. A candidate is a run of token characters. Its
 windows are scored by character class with counts that each step changes by one character in and one out, and its
 span is added if its most random window passes the class's threshold, no allow-list pattern fits, and no span of the
-fixed patterns overlaps it.
+fixed patterns overlaps it. Pieces between separators that have a placeholder's word are left out before that, so they
+hide nothing beside them. A window is 20 characters, the least length of a candidate; shorter ones are none.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned alike; offsets are code points, end
 exclusive; spans of one start are in the order of KINDS; an empty table gives an empty result; further columns of
@@ -39,11 +40,12 @@ CLASSES: tuple[tuple[str, float], ...] = (
 #: Strings that look random and aren't secret.
 ALLOW = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "(?i)example|sample|placeholder|changeme|dummy|redacted|x{6}",
-    "(?i)0123456789|abcdefghij",
     "^[A-Za-z0-9]+(?:[-_/][A-Za-z]+){3,}$",
     "^[=_/+-]+$",
 )
+#: Words and runs of placeholders; a piece between separators that has one is left out of its candidate, and the rest is scored.
+PLACEHOLDER = "(?i:example|sample|placeholder|changeme|dummy|redacted|x{6}|abcdefghij)|0123456789"
+SEPARATORS = "[/=_-]+"
 #: Entropies are kept as whole numbers: c log2 c in units of 2^-20, so that steps in and out cancel exactly.
 UNIT = 1 << 20
 COSTS = [round(c * log2(c) * UNIT) if c else 0 for c in range(WINDOW + 2)]
@@ -77,13 +79,19 @@ def least_sum(text: Column, window: int = WINDOW) -> Column:
 
 
 def _random(hit: Column, _: Column) -> Column:
-    bound = F.lit(most_bound(CLASSES[-1][1]))
-    for pattern, entropy in reversed(CLASSES[:-1]):
-        bound = F.when(hit.rlike(pattern), F.lit(most_bound(entropy))).otherwise(bound)
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | hit.rlike(pattern)
-    return ~allowed & (least_sum(hit) <= bound)
+
+    def over(rest: Column) -> Column:
+        bound = F.lit(most_bound(CLASSES[-1][1]))
+        for pattern, entropy in reversed(CLASSES[:-1]):
+            bound = F.when(rest.rlike(pattern), F.lit(most_bound(entropy))).otherwise(bound)
+        return least_sum(rest) <= bound
+
+    kept = F.filter(F.split(hit, SEPARATORS, -1), lambda piece: ~piece.rlike(PLACEHOLDER))
+    rest = F.when(hit.rlike(PLACEHOLDER), F.array_join(kept, "-")).otherwise(hit)
+    return ~allowed & let(rest, over)
 
 
 def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
