@@ -13,7 +13,6 @@ from .registry import query
 from .storage import KEYS
 
 
-
 def order_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_nodes(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
