@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ LOWER = UPPER.lower()
 
 #: Words as runs of bytes other than the six ASCII white space characters.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bits of a broadcast filter for each of its keys, and of all of it (32 MB); fewer for each let more rows through.
+FILTER_BITS = 16
+MOST_BITS = 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +64,40 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def may_be_among(df: DataFrame, name: str, hashed: Column, keys: DataFrame) -> DataFrame:
+    """df with a boolean column `name`, false only where the hash of the row is none of keys.h: a broadcast of bits, in place of keys."""
+    bits = min(MOST_BITS, 1 << (FILTER_BITS * max(1, keys.count()) - 1).bit_length())
+    place = lambda h: F.pmod(F.xxhash64(h), F.lit(bits))
+    block, word, bit = (lambda at: F.shiftright(at, 12)), (lambda at: F.shiftright(at, 6).bitwiseAND(F.lit(63)).cast("int")), (lambda at: at.bitwiseAND(F.lit(63)).cast("int"))
+    at, found = place(F.col("h")), free_name(df, "block_found")
+    words = keys.groupBy(block(at).alias(found), word(at).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(at))).alias("bits"))
+    held = free_name(df, "block_words")
+    blocks = words.groupBy(found).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of")).select(found, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("of")[i], F.lit(0).cast("long"))).alias(held))
+    here = free_name(df, "block_place")
+    placed = df.withColumn(here, place(hashed))
+    maybe = F.coalesce(F.getbit(F.col(held)[word(F.col(here))], bit(F.col(here))) == 1, F.lit(False))
+    return placed.join(F.broadcast(blocks), block(F.col(here)) == F.col(found), "left").withColumn(name, maybe).drop(here, found, held)
+
+
+def among(df: DataFrame, on: dict[str, str], keys: DataFrame, bound: int, found: bool = True) -> DataFrame:
+    """Rows of df whose columns equal (nulls too) those of a row of keys, or of none of them if not found.
+
+    on names the columns of keys by those of df. Rows stay where they are up to bound keys, which are broadcast; beyond,
+    only rows that have a key move, and as few others as a filter of the keys' hashes lets through.
+    """
+
+    def met(rows: DataFrame, side: DataFrame) -> DataFrame:
+        same = [rows[a].eqNullSafe(side[b]) for a, b in on.items()]
+        return rows.join(side, reduce(Column.__and__, same), "left_semi" if found else "left_anti")
+
+    if keys.limit(bound + 1).count() <= bound:
+        return met(df, F.broadcast(keys))
+    maybe = free_name(df, "maybe")
+    marked = may_be_among(df, maybe, F.xxhash64(*on), keys.select(F.xxhash64(*on.values()).alias("h")))
+    moved = met(marked.where(maybe).drop(maybe), keys)
+    return moved if found else moved.union(marked.where(~F.col(maybe)).drop(maybe))
+
+
 def matches(text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Column, Column], Column] | None = None, group: int | None = None, hint: str | None = None) -> Column:
     """Array of struct(start, rank, end, kind, hit) for the leftmost non-overlapping matches of a Java pattern.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_least_parallel, checkpointed, free_name
+from .common import among, at_least_parallel, checkpointed, free_name
 
 SEED = 42
 SHINGLE = 4
@@ -34,7 +34,7 @@ CHUNK = 1 << 16
 #: Fingerprints that a shard should have at most on average, and before it is cut into parts.
 SHARD_MEAN = 256
 SHARD_PART = 2048
-#: Keys of kept rows up to which they are broadcast (about 60 bytes each); beyond, rows and keys meet in a shuffle.
+#: Keys of rows up to which they are broadcast (about 60 bytes each); beyond, a filter of them is, and only rows that it lets through are shuffled.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -251,15 +251,18 @@ def keep_one(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))
     best = rows.groupBy("fp").agg(F.min(rank).alias("r"))
     kept = checkpointed(best.join(roots, "fp").groupBy("root").agg(F.min("r").alias("r")).select("r.doc_id", "r.text_key").distinct())
-    # Texts stay where they are read: keys go to them, by broadcast within a bound, and only repeated rows are shuffled.
-    small = kept.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    twice = checkpointed(rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").join(kept.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t"))).select("doc_id", "text_key"))
+    # Texts stay where they are read: keys go to them, those that stay or, beyond a bound, the fewer of those and the others.
     key = free_name(docs, "text_key")
-    keyed = docs.withColumn(key, F.xxhash64("text"))
-    same = lambda side: keyed["doc_id"].eqNullSafe(side["doc_id"]) & keyed[key].eqNullSafe(side["text_key"])
+    keyed, on = docs.withColumn(key, F.xxhash64("text")), {"doc_id": "doc_id", key: "text_key"}
+    counted = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    n_kept, keys, found = kept.count(), kept, True
+    if n_kept > BROADCAST_KEYS:
+        gone = checkpointed(among(counted.drop("n"), {"doc_id": "doc_id", "text_key": "text_key"}, kept, BROADCAST_KEYS, found=False))
+        if gone.count() < n_kept:
+            keys, found = gone, False
+    stays = among(keyed, on, keys, BROADCAST_KEYS, found)
+    twice = checkpointed(counted.where("n > 1").join(kept.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t"))).select("doc_id", "text_key"))
     if twice.limit(1).count() == 0:
-        return keyed.join(F.broadcast(kept) if small else kept, same(kept), "left_semi").drop(key)
-    once = kept.join(twice.withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")), "left_anti")
-    single = keyed.join(F.broadcast(once) if small else once, same(once), "left_semi")
-    repeated = keyed.join(F.broadcast(twice) if small else twice, same(twice), "left_semi").dropDuplicates(["doc_id", key])
-    return single.union(repeated).drop(key)
+        return stays.drop(key)
+    repeated = among(stays, on, twice, BROADCAST_KEYS).dropDuplicates(["doc_id", key])
+    return among(stays, on, twice, BROADCAST_KEYS, found=False).union(repeated).drop(key)

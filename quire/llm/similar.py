@@ -6,6 +6,10 @@ of their shingles in one total order, so texts meet by those alone, and each pai
 whole sets. The order puts shingles that are frequent in a sample of texts last. The sample, like what is broadcast of
 it, decides how many pairs meet and never which are found: any total order gives all of them.
 
+Few of the pairs that meet are similar, and there are more of them than texts, so whole sets are only fetched for
+pairs whose sketches allow the similarity. A sketch has one bit or two for each shingle, parities of the shingles dealt to
+them; two sets differ in as many shingles as their sketches in bits, or in more, so no similar pair is left out.
+
 A pair can reach the similarity only if, at the first shingle that they share, both have enough shingles left in that
 order for the overlap that their sizes demand; a meeting whose positions leave too few is none.
 
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import at_least_parallel, checkpointed
+from .common import among, at_least_parallel, checkpointed
 
 SHINGLE = 5
 #: The least similarity as a fraction of whole numbers, so that the bound itself is exact.
@@ -36,7 +40,7 @@ LEAST = (4, 5)
 #: Texts sampled for frequent shingles, and frequent shingles that are broadcast (16 bytes each).
 SAMPLE = 20_000
 FREQUENT = 100_000
-#: Pairs to verify, and copied texts, up to which they are broadcast (32 bytes each); beyond, texts are shuffled.
+#: Pairs to verify, and texts in pairs, up to which they are broadcast (32 bytes each); beyond, only texts to verify are shuffled.
 BROADCAST_PAIRS = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,17 +151,67 @@ def _can_reach(one: str, other: str) -> Column:
     return enough(one) & enough(other)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Longs of bits, a power of two of them and no fewer than shingles: each is the parity of the shingles that have it as their remainder."""
+    bits = 64 << ((len(s) - 1) // 64).bit_length()
+    odd = np.bincount(s & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """id, n (shingles) and sketch of every distinct text of (id, text as binary) that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            ids, sizes, found = [], [], []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    if len(s := shingles(x.as_py())):
+                        ids.append(key)
+                        sizes.append(len(s))
+                        found.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "n", "sketch"])
+
+    return at_least_parallel(texts).mapInArrow(run, "id long, n long, sketch array<long>").dropDuplicates(["id"])
+
+
+def _differing(one: str, other: str) -> Column:
+    """Bits in which two sketches differ, the longer one folded to the other's length; null if it is more than twice as long."""
+    xor = lambda p, q: p.bitwiseXOR(q)
+    half = lambda p: F.zip_with(F.slice(p, 1, (F.size(p) / 2).cast("int")), F.slice(p, (F.size(p) / 2).cast("int") + 1, (F.size(p) / 2).cast("int")), xor)
+    fold = lambda p, q: F.when(F.size(p) > F.size(q), half(p)).otherwise(F.col(p))
+    return F.aggregate(F.zip_with(fold(one, other), fold(other, one), xor), F.lit(0), lambda n, p: n + F.bit_count(p))
+
+
+def _promising(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of ids whose sketches don't rule the similarity out: of |A| + |B| shingles, at most a ninth may be in one set only."""
+    num, den = LEAST
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = ids.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    sketches = checkpointed(_sketches(texts.join(F.broadcast(ids), "id", "left_semi") if few else texts))
+    of = lambda side: sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    possible = _differing("sketch_a", "sketch_b") * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+    return pairs.join(of("b"), "b").join(of("a"), "a").where(F.coalesce(possible, F.lit(True))).select("a", "b", "x", "y")
+
+
+def _verified(every: DataFrame, first: DataFrame, repeated: bool, pairs: DataFrame) -> DataFrame:
     """(a, b) as the roots x and y of those pairs of ids whose whole sets reach the similarity.
 
-    texts has one row a text. The sets of all b go to their a, which a star has once for many; a broadcast of the
-    pairs, within its bound, makes that the only shuffle of sets.
+    every has (doc_id, id, text) of all rows, first the smallest doc_id of each text; repeated, if there may be several such
+    rows. The sets of all b go to their a, which a star has once for many; a broadcast of the pairs, within its bound,
+    makes that the only shuffle of sets.
     """
     num, den = LEAST
-    pairs = checkpointed(pairs)
-    small = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-    near = F.broadcast if small else lambda df: df
-    wanted = lambda side: _sets(texts.join(near(pairs.select(F.col(side).alias("id")).distinct()), "id", "left_semi"))
+    pairs = checkpointed(_promising(every.select("id", "text"), checkpointed(pairs)))
+    near = F.broadcast if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else lambda df: df
+
+    def wanted(side: str) -> DataFrame:
+        """One row of each text is verified: that of its smallest doc_id, once."""
+        rows = among(every, {"doc_id": "least", "id": "text_key"}, checkpointed(first.join(near(pairs.select(F.col(side).alias("text_key")).distinct()), "text_key", "left_semi")), BROADCAST_PAIRS).select("id", "text")
+        return _sets(rows.dropDuplicates(["id"]) if repeated else rows)
+
     left = wanted("a").select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = wanted("b").withColumnsRenamed({"id": "b", "set": "sb"}).join(near(pairs), "b")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -169,13 +223,8 @@ def joined_roots(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFram
     """roots (fp, root) with the components joined that hold texts of at least the least similarity."""
     every = docs.select("doc_id", F.xxhash64("text").alias("id"), F.col("text").cast("binary").alias("text"))
     texts = every.select("id", "text")
-    # One row of each text is verified: that of its smallest doc_id, once.
-    first = checkpointed(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    copied = first.where("n > 1").select("text_key", "least")
-    held = F.broadcast(copied) if copied.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else copied
-    kept = every.join(held, F.col("id") == F.col("text_key"), "left").where(F.col("text_key").isNull() | F.col("doc_id").eqNullSafe(F.col("least"))).select("id", "text")
+    first = checkpointed(rows.groupBy("text_key").agg(F.min("doc_id").alias("least")))
     repeated = rows.groupBy("text_key", "doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
-    single = kept.dropDuplicates(["id"]) if repeated else kept
     met = checkpointed(_postings(texts, _frequent(texts, rows.count())))
     of_text = rows.join(roots, "fp").select(F.col("text_key").alias("id"), "root").distinct()
 
@@ -187,7 +236,7 @@ def joined_roots(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFram
 
     now = apart(met, of_text)
     star = now.select(F.col("p.id").alias("a"), F.col("p.root").alias("x"), F.col("p.place").alias("i"), F.col("id").alias("b"), F.col("root").alias("y"), F.col("place").alias("j"))
-    one = simhash.components(_verified(single, star.where((F.col("x") != F.col("y")) & _can_reach("i", "j")).select("a", "b", "x", "y").distinct()))
+    one = simhash.components(_verified(every, first, repeated, star.where((F.col("x") != F.col("y")) & _can_reach("i", "j")).select("a", "b", "x", "y").distinct()))
 
     def relabel(labels: DataFrame) -> DataFrame:
         return labels.join(one.withColumnRenamed("node", "old").withColumnRenamed("root", "new"), F.col("root") == F.col("old"), "left").withColumn("root", F.coalesce("new", "root")).drop("old", "new")
@@ -195,7 +244,7 @@ def joined_roots(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFram
     rest = apart(now.drop("root", "p"), relabel(of_text))
     a = rest.select("shingle", F.col("id").alias("a"), F.col("root").alias("x"), F.col("place").alias("i"))
     b = rest.select("shingle", F.col("id").alias("b"), F.col("root").alias("y"), F.col("place").alias("j"))
-    two = simhash.components(_verified(single, a.join(b, "shingle").where((F.col("x") < F.col("y")) & _can_reach("i", "j")).select("a", "b", "x", "y").distinct()))
+    two = simhash.components(_verified(every, first, repeated, a.join(b, "shingle").where((F.col("x") < F.col("y")) & _can_reach("i", "j")).select("a", "b", "x", "y").distinct()))
     out = relabel(roots)
     return out.join(two, out["root"] == two["node"], "left").select("fp", F.coalesce(two["root"], out["root"]).alias("root"))
 
