@@ -11,6 +11,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder, so that a lost executor loses none of it.
 
     The folder is the session's spark.checkpoint.dir. Only a local session without one gets a folder of its own.
+
+    Spark's own checkpoint keeps the constraints of the plan that it cuts. Those of a loop's rounds grow with a power of their
+    number, and the driver then plans for minutes, so the rows are taken as a table of which only the schema is known.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -21,4 +24,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="quire-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)

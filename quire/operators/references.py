@@ -17,18 +17,23 @@ from . import resolve
 def alias_chains(aliases: DataFrame, live: DataFrame) -> DataFrame:
     """(source, target) for every alias source whose chain reaches a live path; cycles and dead ends have no row.
 
-    Pointer doubling over the alias table: every round composes the map with itself, so that chains among n aliases
-    take log2 n joins, each checkpointed to keep the plan small. The last line of a source wins, and a live path's
-    own alias is ignored.
+    Pointer doubling over the alias table: every round composes the map with itself, each checkpointed to keep the plan small.
+    There are log2 of the longest chain's rounds, or log2 n among n aliases if some lead in a circle. The last line of a source
+    wins, and a live path's own alias is ignored.
     """
     last = aliases.groupBy("source").agg(F.max_by("target", "line").alias("target"))
     alive = live.select(F.col("path").alias("target")).distinct().withColumn("alive", F.lit(True))
     open_ = last.join(live.select(F.col("path").alias("source")), "source", "left_anti")
-    now = checkpointed(open_.join(alive, "target", "left").select("source", "target", F.coalesce("alive", F.lit(False)).alias("done")))
+    done = F.coalesce("alive", F.lit(False))
+    # A chain is over where it reaches a live path (done), or one that has no alias.
+    now = checkpointed(open_.join(alive, "target", "left").select("source", "target", done.alias("done"), done.alias("over")))
     for _ in range(now.count().bit_length()):
-        step = now.select(F.col("source").alias("target"), F.col("target").alias("next"), F.col("done").alias("next_done"))
-        onward = ~F.col("done") & F.col("next").isNotNull()
-        now = checkpointed(now.join(step, "target", "left").select("source", F.when(onward, F.col("next")).otherwise(F.col("target")).alias("target"), (F.col("done") | F.coalesce("next_done", F.lit(False))).alias("done")))
+        if now.where("not over").isEmpty():
+            break
+        step = now.select(F.col("source").alias("target"), F.col("target").alias("next"), F.col("done").alias("next_done"), F.col("over").alias("next_over"))
+        onward = ~F.col("over") & F.col("next").isNotNull()
+        moved = lambda there, here: F.when(onward, F.col(there)).otherwise(here)
+        now = checkpointed(now.join(step, "target", "left").select("source", moved("next", F.col("target")).alias("target"), moved("next_done", F.col("done")).alias("done"), moved("next_over", F.lit(True)).alias("over")))
     return now.where("done").select("source", "target")
 
 
