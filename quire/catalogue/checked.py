@@ -37,13 +37,15 @@ def severity_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strict_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that a strict reader gets: those that their schema accepts."""
     s = store(spark, sf_dir)
-    return checks.strict(s.records.where("readable").select("path"), s.check())
+    issues = s.check()
+    return checks.strict(s.records.where("readable").select("path"), issues)
 
 
 @query(ISSUES + f"SELECT (SELECT count(*) FROM live) + (SELECT count(*) FROM live WHERE c % 5 = 2) AS n_records, (SELECT count(*) FROM live WHERE c % 5 = 2) AS n_unreadable, count(*) AS n_issues, count_if({LENIENT} = 'error') AS n_errors FROM issues")
 def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = linked_store(spark, sf_dir, Config(uniqueness="lenient"))
-    return checks.summary(s.records, s.check())
+    issues = s.check()
+    return checks.summary(s.records, issues)
 
 
 @query(LINKED + """SELECT CASE WHEN one AND md THEN '(conflict)' WHEN one THEN 'ones' WHEN md THEN 'notes' ELSE '(none)' END AS collection, count(*) AS n_records, count_if(NOT md) AS n_unreadable
@@ -154,7 +156,7 @@ def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind in ("json", "yaml", "md"):
         part = written(rows.select(record_path("c", F.col("c_custkey"), kind).alias("path"), value.alias("value")), kind)
         files = part if files is None else files.unionByName(part)
-    nodes = exploded(parse_files(files.select("path", "content")), "nodes").where("at in ('/name', '/balance')")
+    nodes = exploded(parse_files(files.select("path", "content"), ("nodes",)), "nodes").where("at in ('/name', '/balance')")
     return nodes.select("path", F.substring_index("path", ".", -1).alias("format"), "at", "str", "num")
 
 

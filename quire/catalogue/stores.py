@@ -73,8 +73,9 @@ def store_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(DISTINCT conv_id) AS n_records, 0 AS n_unreadable, (SELECT count(*) FROM conversations WHERE turn > 0) + (SELECT count(*) FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 5)) AS n_issues, (SELECT count(*) FROM conversations WHERE turn > 0) + (SELECT count(*) FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 5)) AS n_errors FROM conversations")
 def store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = store(spark, sf_dir).cached()
-    return checks.summary(s.records, s.check())
+    s = store(spark, sf_dir)
+    issues = s.check()
+    return checks.summary(s.records, issues)
 
 
 @query("""SELECT 'notes/' || doc_id || '.md' AS path, unnest([lang, source]) AS tag FROM documents""")

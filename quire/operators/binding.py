@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..parse.arrow import pieces
 from ..schema.spine import Spine, item_keys, typed_refs
 from . import resolve
 from .checks import issues_of
@@ -27,7 +28,7 @@ def bound_nodes(records: DataFrame, schemas: dict[str, object]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spines = {name: Spine(json.loads(text)) for name, text in texts.items()}
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             nodes = batch.column(3)
             keys = [item_keys(spines[owner], json.loads(value)) if owner in spines and value is not None else {} for owner, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             if any(keys):
@@ -54,7 +55,7 @@ def extract_typed(records: DataFrame, schemas: dict[str, object]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = {name: json.loads(text) for name, text in texts.items()}
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             rows = []
             for path, owner, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if owner in roots and value is not None:

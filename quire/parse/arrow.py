@@ -24,32 +24,56 @@ TAG = "struct<at:string,tag:string,position:int>"
 REF = "struct<at:string,kind:string,raw:string,start:bigint>"
 ISSUE = "struct<code:string,at:string,message:string,offset:bigint>"
 LEAF = "struct<kind:string,str:string,num:double,flag:boolean>"
-CANDIDATE = f"struct<at:string,depth:int,key:string,title:string,body:string,doc_order:bigint,tags:array<string>,anchors:array<struct<name:string,kind:string>>,values:map<string,array<{LEAF}>>,strings:array<string>,size:bigint>"
-PARSED = f"path string, format string, version string, readable boolean, value string, nodes array<{NODE}>, anchors array<{ANCHOR}>, tags array<{TAG}>, refs array<{REF}>, issues array<{ISSUE}>, candidates array<{CANDIDATE}>"
-
-
-def parse_files(files: DataFrame) -> DataFrame:
-    """files (path, content) of records -> one row each, as PARSED says. Files of other kinds are left out."""
+#: A candidate's values are its own; those of its ancestors are found through `above`, its parent's place in the record's candidates.
+CANDIDATE = f"struct<at:string,depth:int,key:string,title:string,body:string,doc_order:bigint,tags:array<string>,anchors:array<struct<name:string,kind:string>>,above:int,values:map<string,array<{LEAF}>>,strings:array<string>,size:bigint>"
+COLUMNS = {
+    "format": "string", "version": "string", "readable": "boolean", "value": "string", "nodes": f"array<{NODE}>", "anchors": f"array<{ANCHOR}>", "tags": f"array<{TAG}>", "refs": f"array<{REF}>",
+    "issues": f"array<{ISSUE}>", "candidates": f"array<{CANDIDATE}>",
+}
+PARSED = "path string, " + ", ".join(f"{name} {kind}" for name, kind in COLUMNS.items())
+#: What a Python worker holds as objects at a time. A record's rows take many times its bytes. Fixed values.
+PIECE_BYTES, PIECE_ROWS = 1 << 20, 256
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most PIECE_ROWS rows and about PIECE_BYTES, or of one row, so that a worker's memory is
+    bounded by its largest row and not by Spark's batches."""
+    if batch.num_rows <= 1 or (batch.num_rows <= PIECE_ROWS and batch.nbytes <= PIECE_BYTES):
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from pieces(batch.slice(0, half))
+        yield from pieces(batch.slice(half))
+
+
+def parse_files(files: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
+    """files (path, content) of records -> one row each, as PARSED says. Files of other kinds are left out.
+
+    With columns, only those are made, besides the path.
+    """
     spark = files.sparkSession
-    schema = spark.createDataFrame([], PARSED).schema
+    chosen = [c for c in COLUMNS if c in columns]
+    declared = "path string" + "".join(f", {c} {COLUMNS[c]}" for c in chosen)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+    arrow = to_arrow_schema(spark.createDataFrame([], declared).schema)
+    make = {
+        "format": lambda r: r.format, "version": lambda r: r.version, "readable": lambda r: r.readable, "value": lambda r: None if r.value is None else jcs(r.value),
+        "nodes": lambda r: r.nodes, "anchors": lambda r: r.anchors, "tags": lambda r: r.tags, "refs": lambda r: r.refs, "issues": lambda r: [i.__dict__ for i in r.issues],
+        "candidates": lambda r: [c | {"values": list(c["values"].items())} for c in candidates(r, inherit=False)],
+    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                r = read_record(path, content or b"")
-                rows.append({
-                    "path": path, "format": r.format, "version": r.version, "readable": r.readable, "value": None if r.value is None else jcs(r.value),
-                    "nodes": r.nodes, "anchors": r.anchors, "tags": r.tags, "refs": r.refs, "issues": [i.__dict__ for i in r.issues],
-                    "candidates": [c | {"values": list(c["values"].items())} for c in candidates(r)],
-                })
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for piece in pieces(batch):
+                rows = []
+                for path, content in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    r = read_record(path, content or b"")
+                    rows.append({"path": path} | {c: make[c](r) for c in chosen})
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     records = files.where(paths.file_kind(F.col("path")) == "record")
-    return records.select("path", "content").mapInArrow(run, PARSED)
+    return records.select("path", "content").mapInArrow(run, declared)
 
 
 def exploded(parsed: DataFrame, column: str) -> DataFrame:
@@ -82,7 +106,7 @@ def written(values: DataFrame, kind: str) -> DataFrame:
         from .serialize import NotRepresentable, to_json, to_markdown, to_yaml
 
         writer = {"md": to_markdown, "yaml": to_yaml, "json": to_json}[kind]
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             texts, problems = [], []
             for value in batch.column(1).to_pylist():
                 try:
@@ -111,7 +135,7 @@ def values_at(rows: DataFrame) -> DataFrame:
             return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             shown = [part(a, v) for a, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shown, pa.string())], names=["path", "at", "value"])
 

@@ -1,7 +1,7 @@
 """A store: files below a root (or in memory), its configuration, and the canonical tables derived from them.
 
-Every table is a lazy DataFrame over one parse of the record files; call cached() to keep the parse for a session,
-or build_index() and open_index() to keep it as Parquet.
+Every table is a lazy DataFrame over one parse of the record files, which makes only the columns that the table needs; call
+cached() to keep the whole parse for a session, or build_index() and open_index() to keep it as Parquet.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from . import schemas
 CONFIG = ".vmd/config.yaml"
 ALIASES = ".vmd/aliases.jsonl"
 SCHEMAS = ".vmd/schema/"
+#: What checks and references read of the parse. Fixed values.
+CHECKED = ("format", "version", "readable", "value", "nodes", "anchors", "tags", "refs", "issues")
 MEMBERS = {"vmd", "uniqueness", "yaml_quoting", "issues", "ignore", "collections"}
 
 
@@ -95,6 +97,13 @@ def folder_files(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(relative.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).where(~F.col("path").rlike(r"(?:^|/)\.git(?:/|$)"))
 
 
+def _current(index: DataFrame) -> DataFrame:
+    """An index as it is; ValueError for one whose candidates repeat what their ancestors have, as they once did."""
+    if "above" not in index.schema["candidates"].dataType.elementType.names:
+        raise ValueError("the index was built by an earlier version; build it anew in another folder")
+    return index
+
+
 class Store:
     """Files and what they say."""
 
@@ -102,6 +111,7 @@ class Store:
         self.all_files = files
         self.config = config or self._read_config()
         self._parsed = parsed
+        self._kept: DataFrame | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Store:
@@ -130,10 +140,36 @@ class Store:
         shown = self.all_files.where(~paths.ignored(p, self.config.ignore))
         return shown.withColumns({"kind": paths.file_kind(p), "collections": paths.collections_of(p, self.config.collections), "version": git_blob_id(F.col("content"))})
 
+    @cached_property
+    def _listed(self) -> DataFrame:
+        """files without contents, listed once for all that a check or references ask of them."""
+        return checkpointed(self.files.select("path", "kind", "collections"))
+
     @cached_property
     def parsed(self) -> DataFrame:
         return parse_files(self.files) if self._parsed is None else self._parsed
 
+    def _parse(self, *columns: str) -> DataFrame:
+        """The parse with these columns: that of the index or the one that is kept, or else one that makes no others."""
+        if self._parsed is not None or ("parsed" in self.__dict__ and self.parsed.is_cached):
+            return self.parsed
+        if self._kept is not None and set(columns) <= set(CHECKED):
+            return self._kept
+        return parse_files(self.files, columns)
+
+    def _keep(self) -> None:
+        """Keeps what checks and references read of the parse, as they read it a dozen times, unless it is there."""
+        if self._parsed is None and self._kept is None and not ("parsed" in self.__dict__ and self.parsed.is_cached):
+            self._kept = parse_files(self.files, CHECKED).persist()
+
+    def _only(self, names: list[str]) -> Store:
+        """This store with the files and the parse of some records alone."""
+        held = F.col("path").isin(names)
+        of = self._parse(*CHECKED).where(held) if self._parsed is not None or self._kept is not None or ("parsed" in self.__dict__ and self.parsed.is_cached) else None
+        one = Store(self.all_files.where(held), self.config, of)
+        one.__dict__.update(loaded_schemas=self.loaded_schemas, schemas=self.schemas)
+        return one
+
     def cached(self) -> Store:
         """Keeps the parse in memory and on disk for this session; what an executor loses is parsed again."""
         if not self.parsed.is_cached:
@@ -142,14 +178,15 @@ class Store:
 
     def _part(self, paths_: DataFrame) -> Store:
         """This store with the parse of some records (path) alone; its files are still all there."""
-        part = Store(self.all_files, self.config, self.parsed.join(paths_, "path", "left_semi"))
-        part.__dict__.update(files=self.files, loaded_schemas=self.loaded_schemas, schemas=self.schemas)
+        part = Store(self.all_files, self.config, self._parse(*CHECKED).join(paths_, "path", "left_semi"))
+        part.__dict__.update(files=self.files, _listed=self._listed, loaded_schemas=self.loaded_schemas, schemas=self.schemas)
         return part
 
     @cached_property
     def records(self) -> DataFrame:
         held = self.files.select("path", "collections", "size")
-        return self.parsed.select("path", "format", "version", "readable", "value").join(held, "path")
+        columns = ("format", "version", "readable", "value")
+        return self._parse(*columns).select("path", *columns).join(held, "path")
 
     @cached_property
     def loaded_schemas(self) -> dict[str, tuple[object, list[str]]]:
@@ -187,27 +224,27 @@ class Store:
     @property
     def nodes(self) -> DataFrame:
         """Nodes of readable records; steps into declared keyed lists are keys."""
-        readable = self.parsed.where("readable")
         keyed = {name: schema for name, schema in self.schemas.items() if "x-vmd-list" in str(schema)}
+        readable = self._parse("readable", "nodes", *(["value"] if keyed else [])).where("readable")
         return exploded(binding.bound_nodes(readable.withColumn("owner", self._owner()), keyed) if keyed else readable, "nodes")
 
     @property
     def anchors(self) -> DataFrame:
-        return exploded(self.parsed.where("readable"), "anchors")
+        return exploded(self._parse("readable", "anchors").where("readable"), "anchors")
 
     @property
     def tags(self) -> DataFrame:
-        return exploded(self.parsed.where("readable"), "tags")
+        return exploded(self._parse("readable", "tags").where("readable"), "tags")
 
     @cached_property
     def alias_lines(self) -> DataFrame | None:
         """Entries of the alias file (kind, record, source, target, line); None for a store without one."""
-        if self._text(ALIASES) is None:
+        if self.all_files.where(F.col("path") == ALIASES).isEmpty():
             return None
         schema = "kind string, `from` string, `to` string, record string"
         lines = listing.file_lines(self.all_files.where(F.col("path") == ALIASES).select("path", F.decode("content", "UTF-8").alias("text")))
         read = lines.select("line", F.from_json("text", schema).alias("a")).select("line", "a.*")
-        return read.select("kind", "record", F.col("from").alias("source"), F.col("to").alias("target"), "line")
+        return checkpointed(read.select("kind", "record", F.col("from").alias("source"), F.col("to").alias("target"), "line"))
 
     @cached_property
     def aliases(self) -> DataFrame | None:
@@ -220,18 +257,18 @@ class Store:
         if self.alias_lines is None:
             return None
         own = self.alias_lines.where("kind = 'anchor'").select("record", "source", "target", "line")
-        return references.anchor_renames(own, references.alias_chains(self.aliases, self.files))
+        return checkpointed(references.anchor_renames(own, references.alias_chains(self.aliases, self._listed)))
 
     @cached_property
     def typed(self) -> DataFrame | None:
         """References that the schemas of collections declare; None if none does."""
         declared = {name: schema for name, schema in self.schemas.items() if "x-vmd-ref" in str(schema)}
-        return binding.extract_typed(self.parsed.where("readable").withColumn("owner", self._owner()), declared) if declared else None
+        return binding.extract_typed(self._parse("readable", "value").where("readable").withColumn("owner", self._owner()), declared) if declared else None
 
     @cached_property
     def refs(self) -> DataFrame:
         """References with their resolved target: ref_id, path, at, kind, raw, start, target, fragment_kind, steps."""
-        raw = exploded(self.parsed.where("readable"), "refs")
+        raw = exploded(self._parse("readable", "refs").where("readable"), "refs")
         if self.typed is not None:
             # A $ref object with a declaration is still one reference.
             fresh = self.typed.select("path", "at", F.lit("typed").alias("kind"), "raw", F.lit(0).cast("long").alias("start")).join(raw.select("path", "at"), ["path", "at"], "left_anti")
@@ -248,6 +285,7 @@ class Store:
 
     @cached_property
     def _resolved(self) -> DataFrame:
+        self._keep()
         return self._resolve_refs(self.refs)
 
     def resolved_refs(self, within: DataFrame | None = None) -> DataFrame:
@@ -258,7 +296,7 @@ class Store:
         return self._resolved if within is None else self._resolve_refs(self.refs.join(within, "path", "left_semi"), part=True)
 
     def _resolve_refs(self, refs: DataFrame, part: bool = False) -> DataFrame:
-        everything = self.files.select("path").union(references.directories(self.files))
+        everything = self._listed.select("path").union(references.directories(self._listed))
         settled = checkpointed(references.record_status(refs, everything, self.aliases))
         reached = self._part(settled.select(F.col("record").alias("path")).where("path is not null").distinct()) if part else self
         if self.renames is not None:
@@ -285,16 +323,18 @@ class Store:
     def resolve(self, addresses: list[str], singular: bool = True) -> DataFrame:
         """The nodes of addresses: address_id, path, at, status."""
         longest = max((len(a.partition("#")[2].split("/")) for a in addresses), default=1)
-        return resolve.resolve(self.addresses(addresses), self.nodes, self.anchors, longest, singular)
+        named = self._only(sorted({a.partition("#")[0] for a in addresses}))
+        return resolve.resolve(self.addresses(addresses), named.nodes, named.anchors, longest, singular)
 
     def get(self, address: str, form: str = "value") -> DataFrame:
         """A node as its value (canonical JSON), body or source bytes (singular address)."""
-        found = self.resolve([address]).where("status = 'ok'").join(self.nodes, ["path", "at"])
+        one = self._only([address.partition("#")[0]])
+        found = one.resolve([address]).where("status = 'ok'").join(one.nodes, ["path", "at"])
         if form == "body":
             return found.select("path", "at", F.coalesce("body", F.lit("")).alias("body"))
         if form == "source":
-            return found.join(self.all_files.select("path", "content"), "path").select("path", "at", F.decode(F.expr("substring(content, int(start) + 1, int(end - start))"), "UTF-8").alias("source"))
-        shown = values_at(found.join(self.parsed.select("path", "value"), "path").select("path", "at", "value"))
+            return found.join(one.all_files.select("path", "content"), "path").select("path", "at", F.decode(F.expr("substring(content, int(start) + 1, int(end - start))"), "UTF-8").alias("source"))
+        shown = values_at(found.join(one._parse("value").select("path", "value"), "path").select("path", "at", "value"))
         return found.select("path", "at", "kind", "title", "str", "num", "flag", "version").join(shown, ["path", "at"])
 
     def outline(self, path: str, at: str = "", depth: int | None = None) -> DataFrame:
@@ -306,17 +346,37 @@ class Store:
         counts = references.counts_into(self.resolved_refs().where(F.col("record") == path))
         return shown.join(counts.select("at", "n_refs"), "at", "left").select("at", "key", "title", "depth", (F.col("end") - F.col("start")).alias("size"), F.coalesce("n_refs", F.lit(0)).alias("n_refs"), "doc_order").orderBy("doc_order")
 
-    def candidates(self, target: str = "records") -> DataFrame:
-        rows = exploded(self.parsed.where("readable"), "candidates")
+    def candidates(self, target: str = "records", fields: set[str] | None = None) -> DataFrame:
+        """Roots or sections with their values; those of a section include what its ancestors have and it lacks, nearest first.
+
+        With fields, values has only these. A field's nearest holder is found along the places of a candidate's ancestors within
+        the record's row, so that no section carries what its siblings have.
+        """
+        parsed = self._parse("readable", "candidates").where("readable")
+        if target == "records":
+            shown = F.filter("candidates", lambda c: c["at"] == "")
+        else:
+            kind = parsed.schema["candidates"].dataType.elementType["values"].dataType.simpleString()
+            parsed = parsed.withColumn("own", F.transform("candidates", lambda c: F.struct(c["above"].alias("above"), c["values"].alias("values"))))
+            within = lambda i, depth, f: F.aggregate(F.sequence(F.lit(0), depth), i, lambda j, _: F.when(F.try_element_at(F.get("own", j)["values"], f).isNull(), F.coalesce(F.get("own", j)["above"], j)).otherwise(j))
+            near = lambda c, i, f: F.try_element_at(F.get("own", within(i, c["depth"], f))["values"], f)
+            if fields is None:
+                above = lambda c, i: F.aggregate(F.sequence(F.lit(0), c["depth"]), F.struct(i.alias("at"), F.create_map().cast(kind).alias("values")), lambda s, _: F.struct(
+                    F.get("own", s["at"])["above"].alias("at"), F.coalesce(F.map_concat(s["values"], F.map_filter(F.get("own", s["at"])["values"], lambda k, v: ~F.map_contains_key(s["values"], k))), s["values"]).alias("values")))["values"]
+            else:
+                pairs = lambda c, i: [x for f in sorted(fields) for x in (F.lit(f), near(c, i, F.lit(f)))]
+                above = lambda c, i: F.create_map(*pairs(c, i)) if fields else F.create_map().cast(kind)
+            shown = F.transform("candidates", lambda c, i: c.withField("values", above(c, i)))
+        rows = parsed.select("path", F.explode(shown).alias("r")).select("path", "r.*")
         rows = rows.join(self.files.select("path", "collections"), "path").withColumn("collection", F.when(F.size("collections") == 1, F.element_at("collections", 1)))
-        return rows.where("at = ''") if target == "records" else rows.withColumn("strings", F.array().cast("array<string>"))
+        return rows if target == "records" else rows.withColumn("strings", F.array().cast("array<string>"))
 
     def query(self, text: str, target: str = "records", collection: str | None = None) -> DataFrame:
         """Records or sections that match a search."""
-        rows = self.candidates(target)
+        needed = fields_of(parse(text))
+        rows = self.candidates(target, {f if f.startswith("/") else f.replace(".", "/") for f in needed if not f.startswith("@")})
         if collection is not None:
             rows = rows.where(F.col("collection") == collection)
-        needed = fields_of(parse(text))
         if "@refs" in needed:
             targets = self.resolved_refs().where("status in ('ok', 'aliased')")
             name = F.concat("record", F.when(F.col("target_at") == "", F.lit("")).otherwise(F.concat(F.lit("#"), "target_at")))
@@ -363,17 +423,16 @@ class Store:
     def check(self, changed: DataFrame | None = None) -> DataFrame:
         """All issues with severities; with changed paths, those of the changed scope and of the store itself.
 
-        A check reads the parse a dozen times, so it is kept, unless it comes from an index. Of a scope, only its own records
+        The parse is kept, unless it comes from an index. Of a scope, only its own records
         are checked and only the records that they cite are resolved in; over an index, nothing else is parsed or bound.
         """
         p = F.col("path")
-        if self._parsed is None:
-            self.cached()
+        self._keep()
         within = None if changed is None else self.scope(changed)
         part = self if within is None else self._part(within)
         inside = lambda df: df if within is None else df.join(within, "path", "left_semi")
-        structural = exploded(part.parsed, "issues").select("code", "path", "at", "message")
-        names = inside(self.files.where(F.col("kind") == "record"))
+        structural = exploded(part._parse("issues"), "issues").select("code", "path", "at", "message")
+        names = inside(self._listed.where(F.col("kind") == "record"))
         parts = [
             structural,
             self._schema_issues(),
@@ -382,7 +441,7 @@ class Store:
             checks.duplicate_tags(part.tags),
             checks.issues_of(names.where(F.size(paths.path_problems(p)) > 0), "path-invalid", message=F.array_join(paths.path_problems(p), ",")),
             checks.issues_of(names.where(F.size("collections") > 1), "collection-conflict", message=F.array_join("collections", ",")),
-            checks.issues_of(inside(listing.case_conflicts(self.files)), "path-case-conflict", message=F.col("first")),
+            checks.issues_of(inside(listing.case_conflicts(self._listed)), "path-case-conflict", message=F.col("first")),
             part.validation(),
             self._filename_issues(names),
             self._reference_issues(within),
@@ -408,14 +467,14 @@ class Store:
             inside = lambda df: df.join(within, "path", "left_semi")
         parts = [r.select(code.alias("code"), "path", "at", F.col("raw").alias("message")), binding.fragile_issues(resolved, reached.anchors, reached.nodes)]
         if self.aliases is not None:
-            moved = references.shadowed(self.aliases, self.files.where("kind = 'record'")).select(F.col("source").alias("path")).distinct()
+            moved = references.shadowed(self.aliases, self._listed.where("kind = 'record'")).select(F.col("source").alias("path")).distinct()
             parts.append(checks.issues_of(inside(moved), "alias-shadowed", message=F.col("path")))
             own = self if within is None else self._part(within)
             parts.append(checks.issues_of(references.shadowed_names(self.renames, resolve.first_names(own.nodes, own.anchors)), "alias-shadowed", F.col("at"), F.col("name")))
         if self.typed is not None:
             lists = set().union(*map(binding.declared_targets, self.schemas.values()))
             limited = resolved.join(self.typed.select("path", "at", "targets", "explicit").where("targets is not null or explicit").distinct(), ["path", "at"])
-            refused = binding.target_issues(limited, self.files, lists, set(self.config.collections)).unionByName(binding.unanchored_issues(limited, reached.anchors, reached.nodes))
+            refused = binding.target_issues(limited, self._listed, lists, set(self.config.collections)).unionByName(binding.unanchored_issues(limited, reached.anchors, reached.nodes))
             parts.append(refused.distinct())
         return checks.union_all(parts)
 
@@ -426,10 +485,11 @@ class Store:
         there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
         fresh = self.files
         if there:
+            _current(spark.read.parquet(folder))
             fresh = fresh.join(spark.read.parquet(folder).select("version", "path"), ["version", "path"], "left_anti")
         parse_files(fresh).write.mode("append").parquet(folder)
 
     def open_index(self, folder: str) -> Store:
         """This store with its parse taken from the index: current versions only."""
-        kept = self.all_files.sparkSession.read.parquet(folder).join(self.files.select("path", "version"), ["path", "version"], "left_semi")
+        kept = _current(self.all_files.sparkSession.read.parquet(folder)).join(self.files.select("path", "version"), ["path", "version"], "left_semi")
         return Store(self.all_files, self.config, kept)

@@ -33,3 +33,53 @@ def test_chains_in_a_circle_end(spark):
     aliases = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "a", 3), ("d", "a", 4), ("e", "f", 5), ("f", "x", 6), ("g", "g", 7)], "source string, target string, line long")
     live = spark.createDataFrame([("x",)], "path string")
     assert sorted(tuple(r) for r in references.alias_chains(aliases, live).collect()) == [("e", "x"), ("f", "x")]
+
+
+def wide(n: int) -> str:
+    return "# Top\n\nlead\n" + "".join(f'\n## Part {i}<a id="p{i}"></a>\n\nbody {i}\n' for i in range(n))
+
+
+def test_a_batch_is_parsed_in_pieces():
+    from quire.parse.arrow import PIECE_BYTES, PIECE_ROWS, pieces
+
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(3000)]), pa.array([b"x" * (PIECE_BYTES if i == 7 else 3000) for i in range(3000)])], names=["path", "content"])
+    got = list(pieces(batch))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or (p.num_rows <= PIECE_ROWS and p.nbytes <= PIECE_BYTES) for p in got)
+
+
+def test_candidates_of_a_record_are_no_larger_than_the_record():
+    from quire.parse.record import candidates, read_record
+
+    size = lambda n: sum(len(str(c["values"])) for c in candidates(read_record("a.md", wide(n).encode()), inherit=False))
+    assert size(400) < 5 * size(100)
+
+
+@pytest.mark.parametrize("fields", [None, {"turns", "part-1", "x/y", "/turns"}])
+def test_sections_inherit_what_their_ancestors_have(spark, fields):
+    """In the record's row, as candidates() does it with whole maps."""
+    from quire.parse.record import candidates, read_record
+    from quire.sources.store import Store
+
+    text = "---\nturns: 4\nx:\n  y: top\n---\n\n" + wide(2) + "\n### Deep\n\n```yaml data\nturns: 9\n```\n\n## Last\n\nend\n"
+    files = {"a.md": text, "b.json": '{"turns": 1, "$sections": [{"$title": "A", "x": {"y": null}, "$sections": [{"$title": "B"}]}]}'}
+    rows = Store.of(spark, files).candidates("nodes", fields).collect()
+    got = {(r["path"], r["at"]): {k: [x.asDict() for x in v] for k, v in r["values"].items() if v is not None} for r in rows}
+    leaf = lambda x: {k: x.get(k) for k in ("kind", "str", "num", "flag")}
+    want = {(p, c["at"]): {k: [leaf(x) for x in v] for k, v in c["values"].items() if fields is None or k in fields} for p, t in files.items() for c in candidates(read_record(p, t.encode()))}
+    assert got == want
+
+
+def test_a_parse_makes_only_what_is_asked_for(spark, monkeypatch):
+    from quire.sources import store
+
+    asked = []
+    made = store.parse_files
+    monkeypatch.setattr(store, "parse_files", lambda files, columns=None: asked.append(columns) or made(files, columns))
+    s = store.Store.of(spark, {"a.md": wide(3), "b.md": "# B\n"})
+    assert s.anchors.where("kind = 'explicit'").count() == 3
+    assert s.get("a.md#p1", "body").collect()[0]["body"] == "body 1"
+    assert all("candidates" not in c for c in asked)
+    assert set(s._only(["a.md"]).nodes.select("path").distinct().collect()) == {("a.md",)}
+    assert s.check().count() == 0
+    assert "candidates" not in s._kept.columns
