@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import checks
 from ..parse.arrow import exploded, parse_files, written
 from ..sources.store import Config, Store
-from ..sources.tables import record_path, table
+from ..sources.tables import record_path, spread, table
 from .registry import query
 from .stores import ISSUES, LINKED, linked_store, markdown_files, store
 
@@ -113,7 +113,7 @@ def vql_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'notes/' || doc_id || '.md' AS path FROM documents WHERE lang = 'en' AND source <> 'src0'")
 def vql_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with one tag and without another."""
-    docs = table(spark, sf_dir, "documents").select(record_path("notes", F.col("doc_id"), "md").alias("path"), F.concat(F.lit('# Note<a class="'), "lang", F.lit(" "), "source", F.lit('"></a>\n')).alias("t"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id").select(record_path("notes", F.col("doc_id"), "md").alias("path"), F.concat(F.lit('# Note<a class="'), "lang", F.lit(" "), "source", F.lit('"></a>\n')).alias("t"))
     return Store(docs.select("path", F.encode("t", "UTF-8").alias("content"), F.length("t").cast("long").alias("size")), Config()).query("@tags:en -@tags:src0").select("path")
 
 
@@ -150,7 +150,7 @@ def default_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT path, format, "at", str, num FROM (SELECT c_custkey AS k, unnest(['json', 'yaml', 'md']) AS format, c_name, c_acctbal FROM customer), LATERAL (SELECT 'c/' || k || '.' || format AS path, unnest(['/name', '/balance']) AS "at", unnest([c_name, NULL]) AS str, unnest([NULL, c_acctbal]) AS num)""")
 def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as JSON, YAML and Markdown records and read back: leaves by exact path."""
-    rows = table(spark, sf_dir, "customer")
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), "c_custkey")
     value = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")))
     files = None
     for kind in ("json", "yaml", "md"):

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks
-from ..parse.arrow import exploded
+from ..parse.arrow import exploded, parse_files
 from ..sources.store import ALIASES, Config, Store
-from ..sources.tables import record_path, table
+from ..sources.tables import record_path, spread, table
 from .registry import query
 
 
@@ -81,8 +81,8 @@ def store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'notes/' || doc_id || '.md' AS path, unnest([lang, source]) AS tag FROM documents""")
 def store_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of records written with them: a class on each title heading."""
-    docs = table(spark, sf_dir, "documents").select(record_path("notes", F.col("doc_id"), "md").alias("path"), F.concat(F.lit('# Note<a class="'), "lang", F.lit(" "), "source", F.lit('"></a>\n')).alias("t"))
-    return exploded(Store(docs.select("path", F.encode("t", "UTF-8").alias("content"), F.length("t").cast("long").alias("size")), Config()).parsed, "tags").select("path", "tag")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id").select(record_path("notes", F.col("doc_id"), "md").alias("path"), F.concat(F.lit('# Note<a class="'), "lang", F.lit(" "), "source", F.lit('"></a>\n')).alias("t"))
+    return exploded(parse_files(docs.select("path", F.encode("t", "UTF-8").alias("content")), ("tags",)), "tags").select("path", "tag")
 
 
 def linked_store(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Store:

@@ -17,6 +17,15 @@ def record_path(folder: str, key: Column, extension: str = "json") -> Column:
     return F.concat(F.lit(f"{folder}/"), key.cast("string"), F.lit(f".{extension}"))
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt out by some columns to four tasks a core, for work in Python on each of them.
+
+    A scan has a task for so many bytes, and at most one for a row group, so that a table of many small rows would be read, and
+    all its records written and parsed, in a task or two whatever the cores. Only the columns that are used later are moved.
+    """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def document_files(docs: DataFrame) -> DataFrame:
     """documents as text files: path docs/<source>/<doc_id>.md, text, content and size."""
     text = F.coalesce(F.col("text"), F.lit(""))

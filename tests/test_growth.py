@@ -83,3 +83,13 @@ def test_a_parse_makes_only_what_is_asked_for(spark, monkeypatch):
     assert set(s._only(["a.md"]).nodes.select("path").distinct().collect()) == {("a.md",)}
     assert s.check().count() == 0
     assert "candidates" not in s._kept.columns
+
+
+def test_records_of_a_table_are_written_and_read_by_all_cores(spark, tmp_path):
+    """A file of one row group is one task of a scan."""
+    from quire import catalogue
+
+    spark.range(3000).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "double(id) AS c_acctbal").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = catalogue.queries()["written_and_read"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    assert got.count() == 18000
