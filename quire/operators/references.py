@@ -121,10 +121,14 @@ def outgoing(resolved: DataFrame, path: str, at: str = "") -> DataFrame:
 
 
 def counts_into(resolved: DataFrame) -> DataFrame:
-    """(record, at, n_refs): distinct references into each node or below it. Ancestors are exploded before one
-    partial aggregation; a variable-depth path has no rollup."""
-    up = resolved.where("status in ('ok', 'aliased')").select("record", F.explode(resolve.ancestors(F.col("target_at"))).alias("at"), "ref_id")
-    return up.groupBy("record", "at").agg(F.count_distinct("ref_id").alias("n_refs"))
+    """(record, at, n_refs): distinct references into each node or below it.
+
+    Rows are dealt by record and reference before their ancestors are exploded, so that what is distinct is told in place and
+    a reference is moved once, not once an ancestor. A variable-depth path has no rollup.
+    """
+    dealt = resolved.where("status in ('ok', 'aliased')").select("record", "target_at", "ref_id").repartition("record", "ref_id")
+    up = dealt.select("record", F.explode(resolve.ancestors(F.col("target_at"))).alias("at"), "ref_id").distinct()
+    return up.groupBy("record", "at").agg(F.count("ref_id").alias("n_refs"))
 
 
 def shadowed(aliases: DataFrame, files: DataFrame) -> DataFrame:

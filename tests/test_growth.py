@@ -93,3 +93,13 @@ def test_records_of_a_table_are_written_and_read_by_all_cores(spark, tmp_path):
     got = catalogue.queries()["written_and_read"](spark, str(tmp_path))
     assert got.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
     assert got.count() == 18000
+
+
+def test_references_are_moved_before_their_ancestors_are_listed(spark):
+    rows = [(1, "ok", "a", "/x/1"), (1, "ok", "a", "/x/2"), (2, "aliased", "a", "/x/1"), (3, "dangling", "a", "/x/1"), (None, "ok", "b", "/y"), (2, "aliased", "a", "/x/1")]
+    got = references.counts_into(spark.createDataFrame(rows, "ref_id long, status string, record string, target_at string"))
+    want = {("a", "", 2), ("a", "/x", 2), ("a", "/x/1", 2), ("a", "/x/2", 1), ("b", "", 0), ("b", "/y", 0)}
+    assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    places = {name: i for i, line in enumerate(plan) for name in ("Generate", "RepartitionByExpression") if name in line}
+    assert places["Generate"] < places["RepartitionByExpression"]
