@@ -27,9 +27,29 @@ def exact(addresses: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.join(nodes.select("path", "at", "doc_order"), ["path", "at"])
 
 
-def first_step(addresses: DataFrame, nodes: DataFrame, anchors: DataFrame) -> DataFrame:
+#: Names of one step up to which nodes are filtered by them before a join. Fixed value.
+MOST_NAMES = 1_000
+
+
+def step_names(addresses: DataFrame, longest: int) -> list[list[str] | None]:
+    """For each step, the names that semantic addresses have there; None for a step with more than MOST_NAMES."""
+    pairs = addresses.where("kind = 'semantic'").select(F.posexplode(F.slice("steps", 1, longest)).alias("n", "name")).distinct()
+    held: list[list[str] | None] = [[] for _ in range(longest)]
+    for r in pairs.where("name is not null").limit(longest * MOST_NAMES + 1).collect():
+        held[r["n"]].append(r["name"])
+    # Beyond the limit in all, names of any step may be missing.
+    return [None] * longest if sum(map(len, held)) > longest * MOST_NAMES else [sorted(names) if len(names) <= MOST_NAMES else None for names in held]
+
+
+def named(rows: DataFrame, column: str, names: list[str] | None) -> DataFrame:
+    """rows whose column has one of the names; all of them without names."""
+    return rows if names is None else rows.where(F.col(column).isin(names))
+
+
+def first_step(addresses: DataFrame, nodes: DataFrame, anchors: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Nodes that the first step reaches: a member or key of the root, or an anchor of the record, each node once,
-    with `ways` (key, explicit, derived, block)."""
+    with `ways` (key, explicit, derived, block). names has all first steps, if they are few."""
+    nodes, anchors = named(nodes, "step", names), named(anchors, "name", names)
     wanted = addresses.where("kind = 'semantic'").select("address_id", "path", "steps", F.element_at("steps", 1).alias("name"))
     by_key = wanted.join(nodes.where("parent = ''").select("path", F.col("step").alias("name"), "at"), ["path", "name"]).withColumn("way", F.lit("key"))
     by_anchor = wanted.join(anchors.select("path", "name", "at", F.col("kind").alias("way")), ["path", "name"])
@@ -48,9 +68,10 @@ def semantic(addresses: DataFrame, nodes: DataFrame, anchors: DataFrame, longest
 
     longest is the greatest number of steps among the addresses. In singular mode a step with several matches ends
     its address there as ambiguous; a selector goes on with every match. Ended rows ride along, so that the plan is
-    one chain of a join and a window a step.
+    one chain of a join and a window a step. Where a step has few names in all addresses, only nodes with one of them are joined.
     """
-    now = first_step(addresses, nodes, anchors).select("address_id", "path", "steps", "at")
+    names = step_names(addresses, longest)
+    now = first_step(addresses, nodes, anchors, names[0]).select("address_id", "path", "steps", "at")
     now = now.withColumn("status", F.lit(None).cast("string")).withColumn("step", F.lit(None).cast("int"))
     links = nodes.select("path", F.col("parent").alias("at"), F.col("step").alias("name"), F.col("at").alias("next"))
     for n in range(1, longest + 1):
@@ -58,8 +79,8 @@ def semantic(addresses: DataFrame, nodes: DataFrame, anchors: DataFrame, longest
         ended = F.when(several, "ambiguous").when(F.size("steps") == n, "ok")
         now = now.withColumn("now", F.coalesce("status", ended)).withColumn("step", F.coalesce("step", F.when(F.col("now").isNotNull(), F.lit(n)))).drop("status").withColumnRenamed("now", "status")
         if n < longest:
-            named = now.withColumn("name", F.when(F.col("status").isNull(), F.get("steps", F.lit(n))))
-            now = named.join(links, ["path", "at", "name"], "left").where(F.col("status").isNotNull() | F.col("next").isNotNull())
+            asked = now.withColumn("name", F.when(F.col("status").isNull(), F.get("steps", F.lit(n))))
+            now = asked.join(named(links, "name", names[n]), ["path", "at", "name"], "left").where(F.col("status").isNotNull() | F.col("next").isNotNull())
             now = now.select("address_id", "path", "steps", F.coalesce("next", "at").alias("at"), "status", "step")
     return now.where("status is not null").select("address_id", "path", "at", "status", "step")
 

@@ -103,3 +103,22 @@ def test_references_are_moved_before_their_ancestors_are_listed(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     places = {name: i for i, line in enumerate(plan) for name in ("Generate", "RepartitionByExpression") if name in line}
     assert places["Generate"] < places["RepartitionByExpression"]
+
+
+@pytest.mark.parametrize("most", [1, 2, 1000])
+def test_a_step_joins_only_nodes_with_one_of_its_names(spark, monkeypatch, most):
+    from quire.operators import resolve
+
+    monkeypatch.setattr(resolve, "MOST_NAMES", most)
+    nodes = spark.createDataFrame(
+        [("p", "", None, None, 0), ("p", "/a", "", "a", 1), ("p", "/b", "", "b", 2), ("p", "/a/0", "/a", "x", 3), ("p", "/a/1", "/a", "y", 4), ("p", "/b/0", "/b", "x", 5), ("p", "/b/1", "/b", "x", 6)],
+        "path string, at string, parent string, step string, doc_order int",
+    )
+    anchors = spark.createDataFrame([("p", "t", "/a", "explicit")], "path string, name string, at string, kind string")
+    asked = [(1, ["a", "x"]), (2, ["b", "x"]), (3, ["t", "y"]), (4, ["a"]), (5, ["c", "x"]), (6, ["a", None])]
+    addresses = spark.createDataFrame([(i, "p", "semantic", s) for i, s in asked], "address_id int, path string, kind string, steps array<string>")
+    names = resolve.step_names(addresses, 2)
+    # Six names of two steps are beyond 2 * 1 and 2 * 2.
+    assert names == ([["a", "b", "c", "t"], ["x", "y"]] if most == 1000 else [None, None])
+    got = {(r["address_id"], r["at"], r["status"]) for r in resolve.resolve(addresses, nodes, anchors, 2).collect()}
+    assert got == {(1, "/a/0", "ok"), (2, "/b/0", "ambiguous"), (2, "/b/1", "ambiguous"), (3, "/a/1", "ok"), (4, "/a", "ok"), (5, None, "not-found"), (6, None, "not-found")}
