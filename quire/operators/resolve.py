@@ -86,11 +86,16 @@ def semantic(addresses: DataFrame, nodes: DataFrame, anchors: DataFrame, longest
 
 
 def resolve(addresses: DataFrame, nodes: DataFrame, anchors: DataFrame, longest: int, singular: bool = True) -> DataFrame:
-    """Every address with status ok, ambiguous or not-found, and one row per node (at null if none)."""
+    """Every address with status ok, ambiguous or not-found, and one row per node (at null if none).
+
+    Only the kinds that some address has are looked for: each reads the nodes, an exact path all of them.
+    """
+    kinds = {r["kind"] for r in addresses.select("kind").distinct().collect()}
     roots = addresses.where("kind = 'root'").join(nodes.where("at = ''").select("path"), "path", "left_semi").select("address_id", F.lit("").alias("at"), F.lit("ok").alias("status"))
     by_path = exact(addresses, nodes).select("address_id", "at", F.lit("ok").alias("status"))
-    by_step = semantic(addresses, nodes, anchors, longest, singular).select("address_id", "at", "status")
-    found = roots.unionByName(by_path).unionByName(by_step)
+    found = roots if "exact" not in kinds else roots.unionByName(by_path)
+    if "semantic" in kinds:
+        found = found.unionByName(semantic(addresses, nodes, anchors, longest, singular).select("address_id", "at", "status"))
     return addresses.select("address_id", "path").join(found, "address_id", "left").select("address_id", "path", "at", F.coalesce("status", F.lit("not-found")).alias("status"))
 
 

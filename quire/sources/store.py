@@ -7,6 +7,7 @@ cached() to keep the whole parse for a session, or build_index() and open_index(
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -436,9 +437,9 @@ class Store:
         parts = [
             structural,
             self._schema_issues(),
-            checks.duplicate_keys(part.nodes.where("kind <> 'array' and not (step is null)")),
-            checks.duplicate_anchors(part.anchors),
-            checks.duplicate_tags(part.tags),
+            checks.duplicate_keys(part._repeating_nodes().where("kind <> 'array' and not (step is null)")),
+            checks.duplicate_anchors(part._repeating("anchors", ["name"], ["at"])),
+            checks.duplicate_tags(part._repeating("tags", ["at", "tag"])),
             checks.issues_of(names.where(F.size(paths.path_problems(p)) > 0), "path-invalid", message=F.array_join(paths.path_problems(p), ",")),
             checks.issues_of(names.where(F.size("collections") > 1), "collection-conflict", message=F.array_join("collections", ",")),
             checks.issues_of(inside(listing.case_conflicts(self._listed)), "path-case-conflict", message=F.col("first")),
@@ -448,6 +449,22 @@ class Store:
         ]
         return checks.severities(checks.union_all(parts), self.config.uniqueness, self.config.issues)
 
+    def _repeating(self, column: str, by: list[str], beside: list[str] | None = None, where: Callable[[Column], Column] | None = None) -> DataFrame:
+        """Rows of a column of the parse, of those records alone that have two of equal `by` (and unlike `beside`, if given).
+
+        It is told in the record's row, so that only the rows of such records are moved to find which they are.
+        """
+        rows = F.col(column) if where is None else F.filter(column, where)
+        keys = lambda names: F.array_distinct(F.transform(rows, lambda r: F.concat_ws("\0", *(r[n] for n in names))))
+        most = F.size(keys(by + beside)) if beside else F.size(rows)
+        return exploded(self._parse(*CHECKED).where("readable").where(F.size(keys(by)) < most), column)
+
+    def _repeating_nodes(self) -> DataFrame:
+        """Nodes of the records that may have two of one key; all nodes where keys come from a schema."""
+        if any("x-vmd-list" in str(schema) for schema in self.schemas.values()):
+            return self.nodes
+        return self._repeating("nodes", ["parent", "step"], where=lambda n: (n["kind"] != "array") & (n["step"] != ""))
+
     def _filename_issues(self, names: DataFrame) -> DataFrame:
         from ..functions.portable import translate
 

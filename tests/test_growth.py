@@ -122,3 +122,14 @@ def test_a_step_joins_only_nodes_with_one_of_its_names(spark, monkeypatch, most)
     assert names == ([["a", "b", "c", "t"], ["x", "y"]] if most == 1000 else [None, None])
     got = {(r["address_id"], r["at"], r["status"]) for r in resolve.resolve(addresses, nodes, anchors, 2).collect()}
     assert got == {(1, "/a/0", "ok"), (2, "/b/0", "ambiguous"), (2, "/b/1", "ambiguous"), (3, "/a/1", "ok"), (4, "/a", "ok"), (5, None, "not-found"), (6, None, "not-found")}
+
+
+def test_only_records_with_repeats_are_moved_to_find_them(spark):
+    from quire.sources.store import Store
+
+    files = {f"{i}.md": wide(3) for i in range(4)} | {"same.md": "# T\n\n## A\n\na\n\n## A\n\nb\n", "deep.json": '{"a": {"x": 1, "y": [1, 1]}, "b": {"x": 1}}'}
+    s = Store.of(spark, files)
+    found = {(r["path"], r["code"], r["at"]) for r in s.check().collect()}
+    assert found == {("same.md", "duplicate-key", "/$sections/1")}
+    assert {r["path"] for r in s._repeating_nodes().collect()} == {"same.md"}
+    assert s._repeating("anchors", ["name"], ["at"]).count() == s._repeating("tags", ["at", "tag"]).count() == 0
